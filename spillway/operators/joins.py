@@ -61,7 +61,7 @@ def join(left: DataFrame, right: DataFrame, on: str, kind: str = "inner", aliase
     return merged(a.join(b, said, how), left, right, aliases, how)
 
 
-TERM = re.compile(r"""^\s*(?P<base>[^\s+\-]+?)?\s*(?:(?P<sign>[+-])\s*)?(?P<rest>(?:INTERVAL\s+)?'?[+-]?\d+'?\s*[A-Za-z]+)?\s*$""", re.IGNORECASE)
+TERM = re.compile(r"""^\s*(?P<base>(?!INTERVAL\b)[A-Za-z_`][\w.`]*)?\s*(?:(?P<sign>[+-])\s*)?(?P<rest>(?:INTERVAL\s+)?'?[+-]?\d+'?\s*[A-Za-z]+)?\s*$""", re.IGNORECASE)
 
 
 def bound_ms(bound: str | int) -> int:
@@ -70,12 +70,10 @@ def bound_ms(bound: str | int) -> int:
     if isinstance(bound, int):
         return bound
     m = TERM.match(bound)
-    if not m:
+    if not m or not (m["base"] or m["rest"]):
         raise ValueError(f"interval bound {bound!r}")
     if m["base"] and not m["rest"]:
-        if re.fullmatch(r"[A-Za-z_][\w.]*", m["base"]):
-            return 0
-        raise ValueError(f"interval bound {bound!r}")
+        return 0
     ms = duration_ms(m["rest"])
     return -ms if m["sign"] == "-" else ms
 

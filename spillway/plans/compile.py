@@ -37,18 +37,18 @@ class Compiler:
     streaming: bool = False
     dialect: Dialect = field(default_factory=Dialect)
     defaults: dict = field(default_factory=dict)
-    done: dict[int, Rows] = field(default_factory=dict)
-    routes: dict[int, list[DataFrame]] = field(default_factory=dict)
+    done: dict[n.Node, Rows] = field(default_factory=dict)
+    routes: dict[n.Node, list[DataFrame]] = field(default_factory=dict)
     names: dict[int, str] = field(default_factory=dict)
 
     def rows(self, node: n.Node) -> Rows:
         for each in n.walk([node]):
-            if id(each) not in self.done:
+            if each not in self.done:
                 lower = LOWERING.get(type(each)) or next((f for t, f in LOWERING.items() if isinstance(each, t)), None)
                 if lower is None:
                     raise n.DefinitionError(f"{each.component} has no lowering")
-                self.done[id(each)] = lower(self, each, [self.done[id(i)] for i in each.inputs])
-        return self.done[id(node)]
+                self.done[each] = lower(self, each, [self.done[i] for i in each.inputs])
+        return self.done[node]
 
     def frame(self, node: n.Node) -> DataFrame:
         """A node's rows; those of a window node with window_start and window_end."""
@@ -109,9 +109,11 @@ def _table(c: Compiler, node: n.TableSource, _) -> Rows:
 
 
 def through(c: Compiler, rows: Rows, df: DataFrame) -> Rows:
-    if rows.span is not None and not rows.bounded and rows.span.on not in df.columns:
+    """The rows go on with their window, declared event time and key."""
+    out = Rows(df, rows.span, rows.keys, rows.schema)
+    if rows.span is not None and not out.bounded and rows.span.on not in df.columns:
         raise n.DefinitionError(f"window column {rows.span.on!r} is gone")
-    return Rows(df, rows.span, rows.keys)
+    return out
 
 
 @lowers(n.Filter)
@@ -167,13 +169,13 @@ def _union(c, node, ins):
 @lowers(n.Route)
 def _route(c, node, ins):
     df = c.materialised(ins[0])
-    c.routes[id(node)] = stateless.route(df, [b.condition for b in node.branches], c.dialect)
+    c.routes[node] = stateless.route(df, [b.condition for b in node.branches], c.dialect)
     return Rows(df)
 
 
 @lowers(n.RouteOutput)
 def _route_output(c, node, ins):
-    return Rows(c.routes[id(node.inputs[0])][node.index])
+    return Rows(c.routes[node.inputs[0]][node.index])
 
 
 # ---- windows and grouping

@@ -47,7 +47,7 @@ class LateWindows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark, out, changed = timerValues.getCurrentWatermarkInMs(), [], set()
         for pdf in rows:
-            times = (pdf[self.ts].astype("datetime64[ms]").astype("int64")).tolist()
+            times = pdf[self.ts].tolist()
             values = pdf[self.value_column].astype("float64").tolist() if self.value_column else [0.0] * len(pdf)
             for at, value in zip(times, values, strict=True):
                 start = at - at % self.size
@@ -94,8 +94,10 @@ def late_windows(df: DataFrame, key: str, ts: str, size: str, lateness: str, del
     use_rocksdb(df.sparkSession)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("op", T.StringType()), T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("late_value", T.DoubleType())])
-    stream = timed(df, ts).withWatermark(ts, interval(delay))
-    return stream.groupBy(key).transformWithStateInPandas(LateWindows(duration_ms(size), duration_ms(lateness), ts, value), schema, "Update", "EventTime")
+    # the processor gets event time as a plain column: Spark drops late rows by the watermark's own column, but here they
+    # are output
+    stream = timed(df, ts).withWatermark(ts, interval(delay)).withColumn("at_ms", F.unix_millis(ts)).drop(ts)
+    return stream.groupBy(key).transformWithStateInPandas(LateWindows(duration_ms(size), duration_ms(lateness), "at_ms", value), schema, "Update", "EventTime")
 
 
 class Latest(StatefulProcessor):
