@@ -52,7 +52,8 @@ def hits_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
     def probe(wins: DataFrame, second) -> DataFrame:
         table = F.broadcast(wins) if fits else wins
-        spread = docs.select("doc_id", "digest", "w", F.posexplode("w").alias("pos", "p1"))
+        # outer: else the optimiser adds a filter on the array's size, which splits every text once more
+        spread = docs.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "p1"))
         start, size = F.col("pos") - F.col("at"), F.size("win")
         same = (start >= 0) & (F.get("w", start) == F.get("win", F.lit(0))) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("win"))
         return spread.withColumn("p2", second).join(table, (F.col("p1") == F.col("a1")) & (F.col("p2") == F.col("a2")) & same).select("doc_id", "digest", "item_id", start.alias("from"), (start + size).alias("upto"))
