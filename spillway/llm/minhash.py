@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, without
-from .similar import Bands, connect, near_links, sets_of, sketched, within
+from .similar import PAIRS_PER_MEMBER, Bands, connect, near_links, sets_of, sketched, within
 
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5 in a million.
 BANDS = Bands(32, 4)
 SHINGLE, PERCENT = 5, 75
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts link if 100 * intersection >= percent * union of their distinct shingles, confirmed on the full sets. A text of
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS,
     owned = table.join(classes, "digest", "left")
     own = owned.where("key = rep").groupBy("key").agg(F.min_by(F.struct("n_shingles", "keys", "marks"), "digest").alias("s"))
     reps = scratch.save(own.select("key", "s.*"), "reps")
-    links = near_links(scratch, reps, lambda needed: sets_of(within(texts, needed), shingle), bands, percent)
+    links = near_links(scratch, reps, lambda needed: sets_of(within(texts, needed), shingle), bands, percent, crowd)
     component = scratch.save(connect(scratch, links, "whole"), "components")
     # a doc_id with several texts connects their classes
     out = owned.select("key", "n_shingles", "rep").join(component.select(F.col("key").alias("rep"), "component"), "rep", "left")

@@ -13,6 +13,7 @@ start, so copies cost nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from .common import Scratch, Vocabulary, blocks, gram_hashes, mix, word_hashes
 
 #: Members of a bucket that one task compares with as many others at a time.
 CHUNK = 1024
+#: Pairs that a block may give for each of its members; one with more is settled as a whole.
+PAIRS_PER_MEMBER = 4
 #: Buckets of more than one member that are broadcast, so that the others' rows aren't shuffled; beyond, a shuffled join.
 BROADCAST_BYTES = 16 << 20
 
@@ -193,15 +196,15 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame], DataFrame], bands: Bands, percent: int) -> DataFrame:
+def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame], DataFrame], bands: Bands, percent: int, crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
     """a, b: verified links that connect all reps whose sets link through pairs that share a band.
 
     reps: key (bigint), n_shingles, keys, marks of one representative per distinct non-empty set. sets_for gives, for
     a table of keys, key and shingles of their sets; it is asked for those with candidates only.
     """
-    # of equal coordinates, a pair at the threshold has ``percent`` in a hundred; six deviations below, nothing is lost
+    # of its coordinates, a pair at the threshold has ``percent`` in a hundred equal; five deviations fewer are let pass
     share = percent / 100
-    least_equal = int(bands.size * share - 6 * (bands.size * share * (1 - share)) ** 0.5)
+    least_equal = int(bands.size * share - 5 * (bands.size * share * (1 - share)) ** 0.5)
     spread = reps.select("key", F.explode("keys").alias("band"))
     centres = scratch.save(spread.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("members")).where("members > 1"), "centres")
     found = centres.select("band", "centre")
@@ -230,25 +233,42 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
     told = rest.withColumn("j", spot).select("band", "key", "component", F.lit(False).alias("asks"), "j").join(asking, "band").select("band", "key", "component", "asks", "i", "j")
     boxes = asks.select("band", "key", "component", "asks", "i", "j").unionByName(told).join(slim, "key")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Keys of a block that have a partner of another component alike by sketch."""
-        ask, tell = pdf[pdf.asks], pdf[~pdf.asks]
-        if not len(ask) or not len(tell):
-            return pdf[["band", "i", "j", "key", "component", "asks"]][:0]
-        x, y = (np.frombuffer(b"".join(p.marks), np.uint8).reshape(len(p), -1) for p in (ask, tell))
-        own, other = ask.component.to_numpy(), tell.component.to_numpy()
-        asked, told_to = np.zeros(len(x), bool), np.zeros(len(y), bool)
-        for k in range(len(x)):
-            match = ((y == x[k]).sum(axis=1) >= least_equal) & (other != own[k])
-            asked[k] = match.any()
-            told_to |= match
-        return pd.concat([ask[asked], tell[told_to]])[["band", "i", "j", "key", "component", "asks"]]
-
-    kind = "band bigint, i int, j int, key bigint, component bigint, asks boolean"
-    flagged = scratch.save(boxes.groupBy("band", "i", "j").applyInPandas(compare, kind), "flagged")
-    if flagged.isEmpty():
-        scratch.drop("centres", "members", "candidates", "placed", "open", "rest", "flagged")
-        return first
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks, one after the other: pairs of different components alike by sketch. A block that has more than a few
+        pairs for each of its members gives the members instead, which are settled together."""
+        for rows, borders in sorted_groups(batches, 3):
+            marks = fixed_width(rows.column(6))
+            band, i, j, key, component = (rows.column(k).to_numpy() for k in range(5))
+            asks = rows.column(5).to_numpy(zero_copy_only=False)
+            out = []
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                ask, tell = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(~asks[lo:hi])
+                if not len(ask) or not len(tell):
+                    continue
+                x, y, found = marks[ask], marks[tell], []
+                for k in range(len(ask)):
+                    match = np.flatnonzero(((y == x[k]).sum(axis=1) >= least_equal) & (component[tell] != component[ask[k]]))
+                    found.append((np.full(len(match), ask[k]), tell[match]))
+                p, q = (np.concatenate(v) for v in zip(*found, strict=True))
+                if len(p) <= crowd * (hi - lo):
+                    out.append((np.minimum(key[p], key[q]), np.maximum(key[p], key[q]), *[np.zeros(len(p), np.int64)] * 4, np.full(len(p), False), np.full(len(p), True)))
+                else:
+                    for who, asking in ((np.unique(p), True), (np.unique(q), False)):
+                        out.append((key[who], key[who], *[v[who] for v in (band, i, j, component)], np.full(len(who), asking), np.full(len(who), False)))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds, strict=True)], FOUND_NAMES)
+
+    sorted_boxes = boxes.select("band", "i", "j", "key", "component", "asks", "marks").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    flagged = scratch.save(sorted_boxes.mapInArrow(compare, FOUND), "flagged")
+    fresh = flagged.where("pair").select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
+    second = scratch.save(verified(scratch, scratch.save(fresh, "pairs-second"), sets_for, percent), "links-second")
+    crowded = flagged.where("not pair").select(F.col("a").alias("key"), "band", "i", "j", "component", "asks")
+    tables = ("centres", "members", "candidates", "placed", "open", "rest", "flagged", "pairs-second")
+    if crowded.isEmpty():
+        scratch.drop(*tables)
+        return first.unionByName(second)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Exact links of a block between components that no earlier link of it connects."""
@@ -270,12 +290,48 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
                     root[find(own)] = find(theirs)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    needed = flagged.select("key").distinct()
+    needed = crowded.select("key").distinct()
     shingles = scratch.save(sets_for(scratch.save(needed, "rest-needed")), "rest-sets")
-    full = flagged.join(shingles, "key").join(slim.select("key", "marks"), "key")
-    second = scratch.save(full.groupBy("band", "i", "j").applyInPandas(settle, "a bigint, b bigint"), "links-second")
-    scratch.drop("centres", "members", "candidates", "placed", "open", "rest", "flagged", "rest-sets")
-    return first.unionByName(second)
+    full = crowded.join(shingles, "key").join(slim.select("key", "marks"), "key")
+    third = scratch.save(full.groupBy("band", "i", "j").applyInPandas(settle, "a bigint, b bigint"), "links-third")
+    scratch.drop(*tables, "rest-sets")
+    return first.unionByName(second).unionByName(third)
+
+
+FOUND = "a bigint, b bigint, band bigint, i int, j int, component bigint, asks boolean, pair boolean"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def fixed_width(column: pa.Array) -> np.ndarray:
+    """Rows of equally long binaries as a matrix of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+
+
+def sorted_groups(batches, columns: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that are equal in the first columns, as a batch and the groups' borders; rows come sorted.
+    A group that goes on in the next batch waits for it."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        borders = group_borders(batch, columns)
+        rest = batch.slice(borders[-2])
+        if len(borders) > 2:
+            yield batch.slice(0, borders[-2]), borders[:-1]
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def group_borders(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in range(columns):
+        values = batch.column(k).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.concatenate((np.flatnonzero(new), [batch.num_rows]))
 
 
 def alike(x: str, y: str):
@@ -294,7 +350,8 @@ def alike(x: str, y: str):
 def verified(scratch: Scratch, pairs: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets pass. Each end's set joins by key; a hot end's rows are split by the adaptive join."""
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = scratch.save(sets_for(scratch.save(needed, "needed")), "sets")
+    name = uuid.uuid4().hex[:8]
+    sets = scratch.save(sets_for(scratch.save(needed, f"needed-{name}")), f"sets-{name}")
     x, y = (sets.select(F.col("key").alias(e), F.col("shingles").alias(f"s_{e}")) for e in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     rows = pairs.join(y, "b").join(x, "a").withColumn("both", both)

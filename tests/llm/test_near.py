@@ -20,7 +20,8 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert got(minhash.near_duplicates(spark, docs)) == helpers.near(rows)
 
 
-def test_links_that_centres_miss_are_found(spark):
+@pytest.mark.parametrize("crowd", [similar.PAIRS_PER_MEMBER, 0], ids=["pairs", "settled"])
+def test_links_that_centres_miss_are_found(spark, crowd):
     """A chain in one bucket: the centre reaches its neighbour only, the rest is settled in blocks."""
     rng = random.Random(5)
     text, rows = helpers.prose(rng, 120), []
@@ -29,7 +30,7 @@ def test_links_that_centres_miss_are_found(spark):
         text = helpers.edited(rng, text, 2)
     docs = spark.createDataFrame(rows, helpers.SCHEMA)
     # one coordinate a band: neighbours of neighbours share buckets
-    found = got(minhash.near_duplicates(spark, docs, bands=similar.Bands(64, 1)))
+    found = got(minhash.near_duplicates(spark, docs, bands=similar.Bands(64, 1), crowd=crowd))
     assert found == helpers.near(rows)
 
 
