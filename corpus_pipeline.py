@@ -9,7 +9,7 @@ from spillway.llm.common import Scratch, ship
 from spillway.llm.queries import PIECES, table, training_rows
 
 #: Texts whose two best languages differ by less than this part are rejected.
-MARGIN = 0.005
+MARGIN = 0.001
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
