@@ -40,9 +40,9 @@ class Settings:
 
     bits: int = 8
     probes: int = 5
-    prior: float = 20.0
+    prior: float = 500.0
     held: int = 10
-    block_bytes: int = 24 << 20
+    block_bytes: int = 10 << 20
     broadcast_bytes: int = BROADCAST_BYTES
     shard_tokens: int = SHARD_TOKENS
 
