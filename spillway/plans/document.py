@@ -31,9 +31,9 @@ def shuffle_of(node: n.Node) -> tuple[str, list[str]]:
 def plain(value):
     """JSON of a property; what has none is named by its type."""
     if isinstance(value, T.DataType):
-        return {"type": value.simpleString()}
+        return {"type": value.jsonValue()}
     if isinstance(value, Schema):
-        out = {"fields": {k: t.simpleString() for k, t in value.fields.items()}}
+        out = {"fields": {k: t.jsonValue() for k, t in value.fields.items()}}
         if value.watermark:
             out["watermark"] = {"column": value.watermark.column, "expression": value.watermark.expression}
         return {"schema": out | {"primary_key": list(value.primary_key)}}
@@ -58,7 +58,7 @@ def rich(value):
     if not isinstance(value, dict):
         return value
     if set(value) == {"type"}:
-        return T._parse_datatype_string(value["type"]) if value["type"] not in SIMPLE else SIMPLE[value["type"]]
+        return T.StructType.fromJson({"fields": [{"name": "x", "type": value["type"], "nullable": True, "metadata": {}}]}).fields[0].dataType
     if set(value) == {"schema"}:
         s = value["schema"]
         return Schema({k: rich({"type": t}) for k, t in s["fields"].items()}, Watermark(**s["watermark"]) if "watermark" in s else None, tuple(s["primary_key"]))
@@ -75,9 +75,6 @@ def rich(value):
     return {k: rich(v) for k, v in value.items()}
 
 
-SIMPLE = {t().simpleString(): t() for t in (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.DateType, T.BinaryType, T.TimestampType, T.TimestampNTZType)}
-
-
 def to_document(pipeline: n.Pipeline) -> dict:
     nodes = n.identify(pipeline.sinks)
     names = {id(x): k for k, x in nodes.items()}

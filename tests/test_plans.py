@@ -189,3 +189,17 @@ def test_streaming_pipeline(spark, tmp_path):
     for query in sp.start_streams(spark, pipeline, every="available-now"):
         query.awaitTermination()
     assert [spark.read.parquet(str(tmp_path / x)).count() for x in ("a", "rest")] == [4, 4] and spark.table("all_rows").count() == 10
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spillway.__main__ import main
+
+    plan = str(tmp_path / "plan.json")
+    assert main(["new", plan]) == 0 and main(["new", plan]) == 1
+    assert main(["inspect", plan, "mermaid"]) == 0 and "numbers --> Filter" in capsys.readouterr().out
+    assert main(["nothing"]) == 2
+    bad = json.loads((tmp_path / "plan.json").read_text())
+    bad["edges"] = bad["edges"][1:]
+    (tmp_path / "bad.json").write_text(json.dumps(bad))
+    assert main(["inspect", str(tmp_path / "bad.json")]) == 1
+    assert main(["run", plan]) == 0 and "... (40 more rows)" in capsys.readouterr().out
