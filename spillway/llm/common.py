@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a local one that is set then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spillway-")
+        local = tempfile.mkdtemp(prefix="spillway-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -50,12 +54,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_roots: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this program. Results of operators read them, so write those first."""
+    while _roots:
+        remove(spark, _roots.pop())
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage; a lost executor costs a read, never a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -70,10 +89,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Frees the disk of tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(name))
 
 
 def pick(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_edges(spark):
     assert out == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False)], key=str)
     left = minhash.drop_near_duplicates(spark, docs)
     assert left.columns == docs.columns and sorted(r["component_id"] or "" for r in left.collect()) == ["", "x", "y", "z"]
+
+
+def test_scratch_tables_go(spark):
+    from spillway.llm import common
+
+    scratch = Scratch(spark, "mine")
+    table = scratch.save(spark.range(3), "t")
+    assert table.count() == 3
+    common.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(scratch.path("t"))
