@@ -5,8 +5,8 @@ one of t bins with a value; a bin keeps the least i + value. Rounds i >= t throw
 bin fills for sure. A set stops after the round that fills its last bin, which for sets of t ln t elements is the first.
 
 Linking never lists the pairs of a bucket. Each bucket's members are compared with its centre only (its least key).
-Verified links give components; what stays in one bucket but in different components is compared in blocks, minor
-members against all members of the bucket, first by sketch and then exactly. A link between different sets that share
+Verified links give components; what stays in one bucket but in different components is compared in blocks: members that
+aren't of the bucket's main component with each other, and with all of that component, first by sketch, then exactly. A link between different sets that share
 a bucket is thus never lost, and a group of n copies costs n comparisons. Sets that are equal are one class from the
 start, so copies cost nothing.
 """
@@ -221,24 +221,22 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
     component = connect(scratch, first, "part")
     placed = scratch.save(members.join(component, "key", "left").select("band", "key", F.coalesce("component", "key").alias("component")), "placed")
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
-    open_buckets = scratch.save(shares.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components"), F.sum("m").alias("members")).where("components > 1"), "open")
-    rest = placed.join(open_buckets, "band").select("band", "key", "component", (F.col("component") != F.col("main")).alias("minor"), "members")
+    open_buckets = scratch.save(shares.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1"), "open")
+    rest = placed.join(open_buckets, "band").select("band", "key", "component", "main", (F.col("component") != F.col("main")).alias("minor"))
     rest = scratch.save(rest, "rest")
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    spot = F.pmod(F.xxhash64("key"), chunks).cast("int")
-    every = F.sequence(F.lit(0), chunks - 1)
-    asks = rest.where("minor").select("band", "key", "component", F.lit(True).alias("asks"), spot.alias("i"), F.explode(every).alias("j"))
-    # only chunks that ask anything get partners
-    asking = asks.select("band", "i").distinct()
-    told = rest.withColumn("j", spot).select("band", "key", "component", F.lit(False).alias("asks"), "j").join(asking, "band").select("band", "key", "component", "asks", "i", "j")
-    boxes = asks.select("band", "key", "component", "asks", "i", "j").unionByName(told).join(slim, "key")
+    minors = rest.where("minor")
+    # minor members of a bucket with each other; and with all of the main component, once for all buckets that they share
+    among = minors.select(F.col("band").alias("box"), "key", "component")
+    ask_main = minors.select(F.col("main").alias("box"), "key", "component").distinct()
+    of_main = placed.select(F.col("component").alias("box"), "key", "component").distinct().join(ask_main.select("box").distinct(), "box", "left_semi")
+    boxes = blocked(among, among).unionByName(blocked(ask_main, of_main)).join(slim, "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks, one after the other: pairs of different components alike by sketch. A block that has more than a few
         pairs for each of its members gives the members instead, which are settled together."""
         for rows, borders in sorted_groups(batches, 3):
             marks = fixed_width(rows.column(6))
-            band, i, j, key, component = (rows.column(k).to_numpy() for k in range(5))
+            box, i, j, key, component = (rows.column(k).to_numpy() for k in range(5))
             asks = rows.column(5).to_numpy(zero_copy_only=False)
             out = []
             for lo, hi in zip(borders[:-1], borders[1:], strict=True):
@@ -254,17 +252,17 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
                     out.append((np.minimum(key[p], key[q]), np.maximum(key[p], key[q]), *[np.zeros(len(p), np.int64)] * 4, np.full(len(p), False), np.full(len(p), True)))
                 else:
                     for who, asking in ((np.unique(p), True), (np.unique(q), False)):
-                        out.append((key[who], key[who], *[v[who] for v in (band, i, j, component)], np.full(len(who), asking), np.full(len(who), False)))
+                        out.append((key[who], key[who], *[v[who] for v in (box, i, j, component)], np.full(len(who), asking), np.full(len(who), False)))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds, strict=True)], FOUND_NAMES)
 
-    sorted_boxes = boxes.select("band", "i", "j", "key", "component", "asks", "marks").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    sorted_boxes = boxes.select("box", "i", "j", "key", "component", "asks", "marks").repartition("box", "i", "j").sortWithinPartitions("box", "i", "j")
     flagged = scratch.save(sorted_boxes.mapInArrow(compare, FOUND), "flagged")
     fresh = flagged.where("pair").select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
     second = scratch.save(verified(scratch, scratch.save(fresh, "pairs-second"), sets_for, percent), "links-second")
-    crowded = flagged.where("not pair").select(F.col("a").alias("key"), "band", "i", "j", "component", "asks")
+    crowded = flagged.where("not pair").select(F.col("a").alias("key"), "box", "i", "j", "component", "asks")
     tables = ("centres", "members", "candidates", "placed", "open", "rest", "flagged", "pairs-second")
     if crowded.isEmpty():
         scratch.drop(*tables)
@@ -293,12 +291,24 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
     needed = crowded.select("key").distinct()
     shingles = scratch.save(sets_for(scratch.save(needed, "rest-needed")), "rest-sets")
     full = crowded.join(shingles, "key").join(slim.select("key", "marks"), "key")
-    third = scratch.save(full.groupBy("band", "i", "j").applyInPandas(settle, "a bigint, b bigint"), "links-third")
+    third = scratch.save(full.groupBy("box", "i", "j").applyInPandas(settle, "a bigint, b bigint"), "links-third")
     scratch.drop(*tables, "rest-sets")
     return first.unionByName(second).unionByName(third)
 
 
-FOUND = "a bigint, b bigint, band bigint, i int, j int, component bigint, asks boolean, pair boolean"
+def blocked(asks: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows (box, i, j, key, component, asks) so that each that asks meets each that is told in its box in one block, of
+    at most about CHUNK rows a side. Boxes without both sides fall away."""
+    count = lambda df, name: df.groupBy("box").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    sizes = count(asks, "ci").join(count(told, "cj"), "box")
+    spot = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = asks.join(sizes, "box").select("box", spot("ci").alias("i"), every("cj").alias("j"), "key", "component", F.lit(True).alias("asks"))
+    two = told.join(sizes, "box").select("box", every("ci").alias("i"), spot("cj").alias("j"), "key", "component", F.lit(False).alias("asks"))
+    return one.unionByName(two)
+
+
+FOUND = "a bigint, b bigint, box bigint, i int, j int, component bigint, asks boolean, pair boolean"
 FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
