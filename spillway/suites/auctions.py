@@ -31,10 +31,10 @@ def auction_q3(d):
     return n.Join(inputs=sides, on="l.c_custkey = r.o_custkey").via(n.Project(columns=("c_name", "c_nationkey", "o_orderkey")))
 
 
-@query("SELECT o_orderpriority, time_bucket(INTERVAL 30 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 30 DAY, o_orderdate, TIMESTAMP '1970-01-01') + INTERVAL 30 DAY AS window_end, round(avg(l_extendedprice), 4) AS mean FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+@query("SELECT o_orderpriority, time_bucket(INTERVAL 30 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 30 DAY, o_orderdate, TIMESTAMP '1970-01-01') + INTERVAL 30 DAY AS window_end, round(avg(l_extendedprice) + 0.0000001, 4) AS mean FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def auction_q4(d):
     both = n.Join(inputs=(source(d, "orders"), source(d, "lineitem")), on="l.o_orderkey = r.l_orderkey")
-    return both.tumble("30 days", "o_orderdate").aggregate(["o_orderpriority"], {"mean": "round(AVG(l_extendedprice), 4)"})
+    return both.tumble("30 days", "o_orderdate").aggregate(["o_orderpriority"], {"mean": "round(AVG(l_extendedprice) + 0.0000001, 4)"})
 
 
 @query("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, user_id) AS rn FROM (SELECT user_id, w AS window_start, w + INTERVAL 6 HOUR AS window_end, count(*) AS n FROM (
