@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, pick, without
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The store keeps state on the executors' disks; all stores of an executor share this much memory.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # else each of many small stores reserves megabytes of disk for its logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ARRIVALS = "digest binary, doc_id bigint, locator string"
 
 
@@ -38,8 +45,9 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str) -> None:
     """Takes all that is there, and resumes from the checkpoint folder. A batch writes the state rows that it changed to
     a folder of its own, so that a repeated batch overwrites what it wrote before."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
 
         def write(changed: DataFrame, batch: int) -> None:
@@ -48,10 +56,8 @@ def run_stream(spark: SparkSession, stream: DataFrame, target: str, checkpoint:
         query = keyed_state(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
