@@ -38,10 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch: texts may be long, and a task holds a batch on both sides of its Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once per application, so that it needn't be installed there."""
+    """Gives executors this package, once per application, so that it needn't be installed there, and bounds the
+    session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

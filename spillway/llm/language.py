@@ -93,7 +93,7 @@ class Classifier:
         return best, (rest - sizes[best]) / rest if rest else 1.0
 
 
-def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text", limit: int = 8 << 20) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, rejected.
 
     lang_pred is ``und`` where the text is null, empty or has no letter, or nothing was learned. rejected: und, or the

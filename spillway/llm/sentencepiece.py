@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -160,7 +161,7 @@ PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 #: Pre-tokens whose ids a Python worker keeps between blocks; beyond, it starts anew. Results don't depend on it.
-MEMO = 500_000
+MEMO = 200_000
 
 
 class Codec:
@@ -178,9 +179,11 @@ class Codec:
     def __init__(self, model: Model):
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # batches are spread over the machine's threads by the library
+        # the library spreads a batch over threads; an executor has as many workers as cores, so two each do
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         self.model = model
-        self.whole, self.part = build_tokenizer(model), build_tokenizer(model, whole=False)
+        self.part = build_tokenizer(model, whole=False)
         self.cut = cuttable(model)
         self.plain = not model.charsmap and not model.strip_spaces and model.escape_spaces and model.dummy_prefix
         self.bytes = {k: int(p.text[3:5], 16) for k, p in enumerate(model.pieces) if p.kind == BYTE}
@@ -188,6 +191,11 @@ class Codec:
         self.forget()
         self.easy = set(range(len(model.pieces))) - self.bytes.keys()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer with its normaliser, which models without rules of their own don't need."""
+        return build_tokenizer(self.model)
+
     def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[bool]]:
         """Ids of each text, the pre-tokens not met before, and whether each text's ids give back the text as normalised."""
         if self.plain:
@@ -198,8 +206,8 @@ class Codec:
             self.forget()
         parts = [self.memo.ids(PRE_TOKEN.findall(s) if self.cut else [s] if s else []) for s in seen]
         words = list(islice(self.memo.index, self.known, None))
-        for start in range(0, len(words), 20_000):
-            some = words[start : start + 20_000]
+        for start in range(0, len(words), 5_000):
+            some = words[start : start + 5_000]
             found = [one.ids for one in self.part.encode_batch_fast(some, add_special_tokens=False)]
             self.begins.append(self.begins[-1][-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
             self.pools.append(np.fromiter(chain.from_iterable(found), np.int32))
@@ -241,7 +249,7 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20, verify: int = 64) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2 << 20, verify: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, ids, n_ids, round_trip.
 
     Null and empty texts have no ids. round_trip: decoding gives back the text as normalised (markers are spaces).
@@ -253,7 +261,8 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        codec, reference = Codec.of(model), sentencepiece.SentencePieceProcessor(model_proto=model.content)
+        codec = Codec.of(model)
+        reference = codec.reference = getattr(codec, "reference", None) or sentencepiece.SentencePieceProcessor(model_proto=model.content)
         for keys, raw in blocks(batches, limit):
             texts = [t.decode("utf-8") if t else None for t in raw]
             ids, words, same = codec.encode_block(texts)

@@ -125,8 +125,8 @@ def sketch_columns(sets: list[np.ndarray], bands: Bands) -> list[pa.Array]:
     size = np.array([len(s) for s in sets], np.int64)
     some = np.flatnonzero(size)
     keys, marks, digests = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-    for start in range(0, len(some), 2048):
-        part = some[start : start + 2048]
+    for start in range(0, len(some), 512):
+        part = some[start : start + 512]
         flat, offsets = np.concatenate([sets[k] for k in part]), np.concatenate(([0], np.cumsum(size[part])))
         coordinates = sketch(flat, offsets, bands.size)
         band = band_keys(coordinates, bands).view(np.int64)
@@ -136,7 +136,7 @@ def sketch_columns(sets: list[np.ndarray], bands: Bands) -> list[pa.Array]:
     return [pa.array(v, t) for v, t in zip((size, digests, keys, marks), SKETCH_TYPES.values(), strict=True)]
 
 
-def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = 8 << 20) -> DataFrame:
+def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = 4 << 20) -> DataFrame:
     """key and the sketch columns of each row of (key bigint, text). Map-only: text isn't shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

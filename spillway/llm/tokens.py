@@ -24,7 +24,7 @@ MARK = "▁"
 
 
 #: Words whose counts a Python worker keeps between blocks; beyond, it starts anew. Results don't depend on it.
-MEMO = 500_000
+MEMO = 400_000
 #: Key of a piece's score in its node of the trie of pieces.
 SCORE = 0
 
@@ -124,7 +124,7 @@ class Counter:
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 16 << 20) -> DataFrame:
+def token_counts(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_pretokens, n_tokens.
 
     Null and empty texts and such of white space alone have none of either. Rows may repeat; a null doc_id stays. The
