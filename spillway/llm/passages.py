@@ -1,5 +1,10 @@
 """Substring dedup: paragraphs are banded by MinHash, colliding ones joined, exact Jaccard verified, and of each
-component of linked paragraphs all occurrences but the first are removed."""
+component of linked paragraphs all occurrences but the first are removed.
+
+Passages that no line bounds are found by units of UNIT words, wherever lines end: in each window of WINDOW places the
+one with the least hash of its next words (the last of equal ones) starts a unit, as in winnowing (Schleimer et al.
+2003). A run of WINDOW + UNIT - 1 words holds a whole window and its unit, and what a window picks depends on the run
+alone, so two verbatim copies of 50 words share a unit for sure."""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, pick, word_hashes
+from .common import Scratch, Vocabulary, blocks, gram_hashes, mix, pick, word_hashes
 from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, shingle_sets, sketch_columns, split_words
 
 #: Tuned for recall: a pair at 0.75 shares a band with probability 1 - (1 - 0.75**3)**14, all but 5 in ten thousand.
@@ -18,6 +23,8 @@ BANDS = Bands(14, 3)
 SHINGLE, PERCENT = 5, 75
 #: Paragraphs of fewer words repeat by chance and are no passages.
 LEAST_WORDS = 10
+#: Words of a unit, places of a window and words whose hash is compared; 50 words in a row hold a unit.
+UNIT, WINDOW, GRAM = 25, 26, 4
 
 PLACES = {"doc_id": pa.int64(), "par": pa.int32(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64()}
 PLACE = "doc_id bigint, par int, start bigint, end bigint, n_words bigint"
@@ -105,8 +112,99 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS
     return places.select(*PLACES, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.par").alias("keep_par"), "occurrences", (~here).alias("removed"))
 
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (code points, end exclusive) of the words that split_words gives."""
+    data = np.frombuffer(raw, np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(np.concatenate(([1], space.astype(np.int8), [1])))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not raw.isascii():
+        points = np.cumsum((data & 0xC0) != 0x80)
+        starts, ends = points[starts] - 1, points[ends - 1]
+    return starts, ends
+
+
+def unit_starts(hashes: np.ndarray) -> np.ndarray:
+    """Words at which a unit starts; none where there are fewer words than a window and a unit take."""
+    if len(hashes) < WINDOW + UNIT - 1:
+        return np.empty(0, np.int64)
+    grams = gram_hashes(hashes, GRAM)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
+    found = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows[:, ::-1].argmin(axis=1))
+    return found[found + UNIT <= len(hashes)]
+
+
+def unit_digests(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of each unit, in two numbers."""
+    one, two = np.full(len(starts), 1, np.uint64), np.full(len(starts), 2, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(UNIT):
+            word = hashes[starts + k]
+            one, two = mix(one * np.uint64(0x9E3779B97F4A7C15) + word), mix(two * np.uint64(0xD6E8FEB86659FD93) ^ word)
+    return one.view(np.int64), two.view(np.int64)
+
+
+UNITS = {"doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
+
+
+def units(docs: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """doc_id, start, end, h1, h2 of each unit. Of equal units of a text that overlap the first is given: a text of one
+    word would have a unit at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in blocks(batches, limit):
+            vocabulary = Vocabulary()
+            seqs = [vocabulary.ids(split_words(raw or b"")) for raw in texts]
+            hashes, out = word_hashes(vocabulary.words), []
+            for key, raw, seq in zip(ids, texts, seqs, strict=True):
+                words = hashes[seq]
+                at = unit_starts(words)
+                if not len(at):
+                    continue
+                h1, h2 = unit_digests(words, at)
+                ends, keep = {}, []
+                for n, (place, digest) in enumerate(zip(at.tolist(), zip(h1.tolist(), h2.tolist(), strict=True), strict=True)):
+                    if ends.get(digest, 0) <= place:
+                        ends[digest] = place + UNIT
+                        keep.append(n)
+                starts, stops = word_places(raw)
+                at, h1, h2 = at[keep], h1[keep], h2[keep]
+                out.append((np.full(len(at), key, np.int64), starts[at], stops[at + UNIT - 1], h1, h2))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), UNITS.values(), strict=True)], [*UNITS])
+
+    return docs.mapInArrow(run, "doc_id bigint, start bigint, end bigint, h1 bigint, h2 bigint")
+
+
+def repeated_runs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per occurrence of a unit of UNIT words that repeats: doc_id, start, end (code points, end exclusive),
+    n_words, keep_doc_id, keep_start, occurrences, removed.
+
+    Units are equal in all words after lower-casing A-Z, whatever white space is between. The first occurrence by
+    (doc_id, start) stays. Each place of 50 words that recur anywhere holds a whole reported unit.
+    """
+    scratch = Scratch(spark, "runs")
+    texts = pick(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id is not null")
+    table = scratch.save(units(texts), "units")
+    repeats = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    repeats = scratch.save(repeats, "repeats")
+    few = repeats.count() * 48 <= BROADCAST_BYTES
+    places = table.join(F.broadcast(repeats) if few else repeats, ["h1", "h2"])
+    here = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))
+    return places.select("doc_id", "start", "end", F.lit(UNIT).cast("bigint").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences", (~here).alias("removed"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of repeated_passages (unit ``line``) and of repeated_runs (unit ``run``: par and keep_par are null; lines
+    have no keep_start). A run may lie in a line that is there too."""
+    lines = repeated_passages(spark, docs, id_col=id_col, text_col=text_col, **options).withColumn("unit", F.lit("line"))
+    runs = repeated_runs(spark, docs, id_col, text_col).withColumn("unit", F.lit("run"))
+    return lines.unionByName(runs, allowMissingColumns=True)
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with removed paragraphs taken out of their texts, line feeds included; other columns and rows stay."""
+    """docs with removed paragraphs (lines; not runs) taken out of their texts, line feeds included; other columns and
+    rows stay."""
     found = repeated_passages(spark, docs, id_col=id_col, text_col=text_col, **options).where("removed")
     gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("par").alias("__pars"))
     joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__id"), "left")

@@ -54,7 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(spark, table(spark, sf_dir, "documents"))
+    return passages.repeats(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
