@@ -22,6 +22,9 @@ LANGUAGES, DOCUMENTS, DICTIONARY_BYTES = 64, 400, 96 << 10
 LEVEL = 6
 #: Margins below this get a second look, with each of so many parts of the dictionaries.
 NARROW, PARTS = 0.05, 8
+#: Texts are encoded in windows of so many bytes, each against the dictionaries anew: a dictionary saves only so much, and
+#: over a long text in one piece that would be a part near 0.
+WINDOW_BYTES = 32 << 10
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -80,10 +83,12 @@ class Classifier:
         if not said or not self.languages:
             return UNDECIDED, 0.0
         data = said.encode("utf-8", "replace")
-        sizes = [len(e.compress(data)) for e in self.encoders]
+        windows = [data[k : k + WINDOW_BYTES] for k in range(0, len(data), WINDOW_BYTES)]
+        size = lambda e: sum(len(e.compress(w)) for w in windows)
+        sizes = [size(e) for e in self.encoders]
         best, score = self.least(sizes)
         if score < NARROW:
-            best, score = self.least([n + sum(len(e.compress(data)) for e in parts) for n, parts in zip(sizes, self.parts, strict=True)])
+            best, score = self.least([n + sum(map(size, parts)) for n, parts in zip(sizes, self.parts, strict=True)])
         return self.languages[best], score
 
     @staticmethod
