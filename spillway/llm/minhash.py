@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, without
-from .similar import PAIRS_PER_MEMBER, Bands, connect, near_links, sets_of, sketched, within
+from .similar import BROADCAST_BYTES, PAIRS_PER_MEMBER, Bands, connect, near_links, set_digest, shingle_batches, sketched, split_words
 
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5 in a million.
 BANDS = Bands(32, 4)
 SHINGLE, PERCENT = 5, 75
 
 
+def class_sets(texts: DataFrame, wanted: DataFrame, n: int, few: bool, limit: int = 8 << 20) -> DataFrame:
+    """key (the class) and shingles of wanted classes (class, digest, key of a document that holds the set). Other
+    texts under that document's key have other digests and fall away."""
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "key").select(F.struct("class", "digest").alias("class"), "text")
+
+    def run(batches):
+        for ids, sets in shingle_batches(batches, n, split_words, limit):
+            found = [(k["class"], s.view(np.int64)) for k, s in zip(ids, sets, strict=True) if len(s) and set_digest(s) == k["digest"]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return rows.mapInArrow(run, "key bigint, shingles array<bigint>")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts link if 100 * intersection >= percent * union of their distinct shingles, confirmed on the full sets. A text of
     fewer words than a shingle is one shingle; null texts and texts without words have an empty set and link with
-    nothing. Of rows that repeat a doc_id the one with the least set digest stands for the id in links, and all get
-    its component. A null doc_id links with nothing: component_id is null and the row is kept. doc_id must be integral.
+    nothing. Rows that repeat a doc_id link with each other, whatever their texts, and each set links for itself. A null
+    doc_id links with nothing: component_id is null and the row is kept. doc_id must be integral.
     """
     scratch = Scratch(spark, "near")
     texts = pick(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("key"), "text")
     table = scratch.save(sketched(texts, bands, shingle), "sketches")
-    # one class per distinct set; its least key stands for it
-    classes = scratch.save(table.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("rep")), "classes")
+    # one class per distinct set, with a key of its own; its least doc_id names it. Keys are fixed by writing them
+    named = table.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("rep"))
+    classes = scratch.save(named.select(F.monotonically_increasing_id().alias("class"), "digest", "rep"), "classes")
     owned = table.join(classes, "digest", "left")
-    own = owned.where("key = rep").groupBy("key").agg(F.min_by(F.struct("n_shingles", "keys", "marks"), "digest").alias("s"))
-    reps = scratch.save(own.select("key", "s.*"), "reps")
-    links = near_links(scratch, reps, lambda needed: sets_of(within(texts, needed), shingle), bands, percent, crowd)
-    component = scratch.save(connect(scratch, links, "whole"), "components")
+    own = owned.where("key = rep").groupBy("class").agg(F.first(F.struct("n_shingles", "keys", "marks")).alias("s"))
+    reps = scratch.save(own.select(F.col("class").alias("key"), "s.*"), "reps")
+
+    def sets_for(needed: DataFrame) -> DataFrame:
+        few = needed.count() * 48 <= BROADCAST_BYTES
+        wanted = classes.join(F.broadcast(needed) if few else needed, F.col("class") == F.col("key"), "left_semi")
+        return class_sets(texts, wanted.select("class", "digest", F.col("rep").alias("key")), shingle, few)
+
+    links = near_links(scratch, reps, sets_for, bands, percent, crowd)
     # a doc_id with several texts connects their classes
-    out = owned.select("key", "n_shingles", "rep").join(component.select(F.col("key").alias("rep"), "component"), "rep", "left")
-    out = out.select(F.col("key").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "key").alias("component_id"))
+    held = owned.where("class is not null and key is not null").select("key", "class")
+    several = held.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("key", "a")
+    shared = held.join(several, "key").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    component = scratch.save(connect(scratch, links.unionByName(shared), "whole"), "components")
+    placed = classes.join(component, F.col("class") == F.col("key"), "left").select("class", "rep", "component")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    names = placed.join(least, "component", "left").select("class", F.coalesce("least", "rep").alias("name"))
+    out = owned.select("key", "n_shingles", "class").join(names, "class", "left")
+    out = out.select(F.col("key").alias("doc_id"), "n_shingles", F.coalesce("name", "key").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
