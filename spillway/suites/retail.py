@@ -51,6 +51,41 @@ def join_anti(d):
     return joined(d, "anti")
 
 
+def customers_and_events(d, kind):
+    """Whole tables; most customers have no events."""
+    return n.Join(inputs=(source(d, "customer"), source(d, "events")), on="l.c_custkey = r.user_id", type=kind)
+
+
+@query("SELECT * FROM customer JOIN events ON c_custkey = user_id")
+def join_inner_whole(d):
+    return customers_and_events(d, "inner")
+
+
+@query("SELECT * FROM customer LEFT JOIN events ON c_custkey = user_id")
+def join_left_whole(d):
+    return customers_and_events(d, "left")
+
+
+@query("SELECT * FROM customer RIGHT JOIN events ON c_custkey = user_id")
+def join_right_whole(d):
+    return customers_and_events(d, "right")
+
+
+@query("SELECT * FROM customer FULL JOIN events ON c_custkey = user_id")
+def join_full_whole(d):
+    return customers_and_events(d, "full")
+
+
+@query("SELECT * FROM customer SEMI JOIN events ON c_custkey = user_id")
+def join_semi_whole(d):
+    return customers_and_events(d, "semi")
+
+
+@query("SELECT * FROM customer ANTI JOIN events ON c_custkey = user_id")
+def join_anti_whole(d):
+    return customers_and_events(d, "anti")
+
+
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_broadcast(d):
     """Nations and regions are fixed tables of a few rows."""

@@ -114,6 +114,13 @@ def union_all(d):
     return n.Union(inputs=(left, right))
 
 
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, user_id FROM events")
+def union_all_whole(d):
+    few = {"event_id": "event_id", "user_id": "user_id"}
+    left = source(d, "events").filter("event_type = 'view'").map(few)
+    return n.Union(inputs=(left, source(d, "events").map(few).via(n.Project(columns=("user_id", "event_id")))))
+
+
 @query("SELECT CASE WHEN value > 50 THEN 'high' WHEN event_type = 'view' THEN 'views' ELSE 'rest' END AS route, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def route_first_match(spark, d):
     route = source(d, "events").via(n.Route(branches=(n.Branch("high", "value > 50"), n.Branch("views", "event_type = 'view'"))))
