@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, Vocabulary, blocks, gram_hashes, mix, pick, word_hashes
 from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, shingle_sets, sketch_columns, split_words
 
-#: Tuned for recall: a pair at 0.75 shares a band with probability 1 - (1 - 0.75**3)**14, all but 5 in ten thousand.
-BANDS = Bands(14, 3)
+#: Tuned for recall: a pair at 0.75 shares a band with probability 1 - (1 - 0.75**3)**20, all but 2 in a hundred thousand.
+BANDS = Bands(20, 3)
 SHINGLE, PERCENT = 5, 75
 #: Paragraphs of fewer words repeat by chance and are no passages.
 LEAST_WORDS = 10
