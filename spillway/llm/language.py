@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import blocks, pick
 
 UNDECIDED = "und"
-#: Bounds of the sample: languages (those with most documents), documents of each, and bytes of a dictionary.
-LANGUAGES, DOCUMENTS, DICTIONARY_BYTES = 64, 400, 96 << 10
+#: Bounds of the sample: documents of a language, bytes of a dictionary, and of all of them: more languages share those,
+#: down to the least size of one.
+DOCUMENTS, DICTIONARY_BYTES, TOTAL_BYTES, LEAST_BYTES = 400, 96 << 10, 6 << 20, 1 << 10
 LEVEL = 6
 #: Margins below this get a second look, with each of so many parts of the dictionaries.
 NARROW, PARTS = 0.05, 8
@@ -33,19 +34,21 @@ def letters(text: str) -> str:
     return NO_LETTERS.sub(" ", text.lower()).strip()
 
 
-def learn(labelled: DataFrame, documents: int = DOCUMENTS, languages: int = LANGUAGES, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn(labelled: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY_BYTES, total: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionary bytes per language from columns doc_id, text, lang; rows without text or lang teach nothing.
 
-    At most ``languages * documents`` rows come to the driver, each cut to the size of a dictionary. They are chosen by
-    rank within the rows whose hashed id is below a threshold that the counts give, so no group is sorted whole.
+    Every language is learned. At most ``documents`` rows of each come to the driver, each cut to the size of a
+    dictionary: ``size``, or an equal share of ``total``. They are chosen by rank within the rows whose hashed id is below
+    a threshold that the counts give, so no group is sorted whole.
     """
     rows = labelled.where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * documents / r["n"] + 0.0))])
+    size = min(size, max(LEAST_BYTES, total // len(counts)))
+    share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * documents / r["n"] + 0.0)) for r in counts], "lang string, share double")
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.where(spot < share[F.col("lang")]).where("text is not null").select("lang", "text", "doc_id")
+    few = rows.join(F.broadcast(share), "lang").where(spot < F.col("share")).where("text is not null").select("lang", "text", "doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
     picked = few.withColumn("rank", rank).where(F.col("rank") <= documents).select("lang", "rank", F.substring("text", 1, size).alias("text"))
     texts: dict[str, list[str]] = {}
@@ -102,7 +105,7 @@ def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes
     """One row per row of docs: doc_id, lang_pred, score, rejected.
 
     lang_pred is ``und`` where the text is null, empty or has no letter, or nothing was learned. rejected: und, or the
-    score is below ``margin``. The dictionaries' size is bounded by LANGUAGES * DICTIONARY_BYTES, whatever the data.
+    score is below ``margin``. The dictionaries' size is bounded by TOTAL_BYTES, or LEAST_BYTES a language if that is more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
