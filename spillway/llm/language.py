@@ -21,6 +21,8 @@ UNDECIDED = "und"
 #: down to the least size of one.
 DOCUMENTS, DICTIONARY_BYTES, TOTAL_BYTES, LEAST_BYTES = 400, 96 << 10, 6 << 20, 1 << 10
 LEVEL = 6
+#: Texts whose two best languages differ by less than this part are rejected by the query and the pipeline.
+MARGIN = 0.001
 #: Margins below this get a second look, with each of so many parts of the dictionaries.
 NARROW, PARTS = 0.05, 8
 #: Texts are encoded in windows of so many bytes, each against the dictionaries anew: a dictionary saves only so much, and

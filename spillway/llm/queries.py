@@ -72,9 +72,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = language.identify(spark, docs, language.learn(training_rows(docs)))
+    out = language.identify(spark, docs, language.learn(training_rows(docs)), language.MARGIN)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
