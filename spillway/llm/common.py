@@ -153,14 +153,16 @@ class Vocabulary:
         return list(self.index)
 
 
-def blocks(batches, limit: int):
+def blocks(batches, limit: int, keys: int = 1):
     """Regroups the Arrow batches of one task into (ids, texts) of about ``limit`` bytes of UTF-8 text.
 
-    Takes the first two columns as id and text; null texts stay None. A text longer than the limit is a block of its own.
+    Takes the first ``keys`` columns as id (a tuple where there are several) and the next as text; null texts stay None.
+    A text longer than the limit is a block of its own.
     """
     ids, texts, size = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        key_lists = [batch.column(k).to_pylist() for k in range(keys)]
+        for key, text in zip(key_lists[0] if keys == 1 else zip(*key_lists, strict=True), batch.column(keys).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(key)
             texts.append(text)
             size += len(text or b"")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, lm, minhash, passages, secrets, sentencepiece, tokens, urls
+from . import decontaminate, exact, language, lm, minhash, secrets, sentencepiece, substrings, tokens, urls
 from .common import ship
 
 #: Vocabulary files of public tokenizers; only their path is used.
@@ -54,7 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeats(spark, table(spark, sf_dir, "documents"))
+    return substrings.shared_passages(spark, table(spark, sf_dir, "documents"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,20 +120,36 @@ SKETCH_TYPES = {"n_shingles": pa.int64(), "digest": pa.binary(), "keys": pa.list
 SKETCH = "n_shingles bigint, digest binary, keys array<bigint>, marks binary"
 
 
+def sketch_arrays(flat: np.ndarray, offsets: np.ndarray, bands: Bands, at_once: int = 512) -> list[pa.Array]:
+    """n_shingles, digest, keys (one per band) and marks (one byte per coordinate) of sets flat[offsets[k]:offsets[k + 1]],
+    none of them empty."""
+    n = len(offsets) - 1
+    keys, marks = np.empty((n, bands.bands), np.int64), np.empty((n, bands.size), np.uint8)
+    for start in range(0, n, at_once):
+        part = slice(start, min(n, start + at_once))
+        cut = offsets[part.start : part.stop + 1]
+        coordinates = sketch(flat[cut[0] : cut[-1]], cut - cut[0], bands.size)
+        keys[part] = band_keys(coordinates, bands).view(np.int64)
+        marks[part] = (mix(coordinates) & np.uint64(0xFF)).astype(np.uint8)
+    digests = [set_digest(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    ends = lambda size: pa.py_buffer((np.arange(n + 1) * size).astype(np.int32))
+    return [
+        pa.array(np.diff(offsets), pa.int64()),
+        pa.array(digests, pa.binary()),
+        pa.Array.from_buffers(pa.list_(pa.int64()), n, [None, ends(bands.bands)], children=[pa.array(keys.reshape(-1))]),
+        pa.Array.from_buffers(pa.binary(), n, [None, ends(bands.size), pa.py_buffer(marks)]),
+    ]
+
+
 def sketch_columns(sets: list[np.ndarray], bands: Bands) -> list[pa.Array]:
-    """n_shingles, digest, keys (one per band) and marks (one byte per coordinate); the last three null for empty sets."""
+    """The arrays of sketch_arrays for all sets; n_shingles 0 and nulls for empty ones."""
     size = np.array([len(s) for s in sets], np.int64)
     some = np.flatnonzero(size)
-    keys, marks, digests = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-    for start in range(0, len(some), 512):
-        part = some[start : start + 512]
-        flat, offsets = np.concatenate([sets[k] for k in part]), np.concatenate(([0], np.cumsum(size[part])))
-        coordinates = sketch(flat, offsets, bands.size)
-        band = band_keys(coordinates, bands).view(np.int64)
-        mark = (mix(coordinates) & np.uint64(0xFF)).astype(np.uint8)
-        for row, k in enumerate(part):
-            keys[k], marks[k], digests[k] = band[row], mark[row].tobytes(), set_digest(sets[k])
-    return [pa.array(v, t) for v, t in zip((size, digests, keys, marks), SKETCH_TYPES.values(), strict=True)]
+    flat, offsets = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in some)]), np.concatenate(([0], np.cumsum(size[some])))
+    at = np.full(len(sets), -1)
+    at[some] = np.arange(len(some))
+    place = pa.array(at, mask=at < 0)
+    return [pa.array(size, pa.int64()), *(column.take(place) for column in sketch_arrays(flat, offsets, bands)[1:])]
 
 
 def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = 4 << 20) -> DataFrame:
@@ -146,22 +162,6 @@ def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = 4 << 20) -> Da
     return texts.mapInArrow(run, f"key bigint, {SKETCH}")
 
 
-def sets_of(texts: DataFrame, n: int, limit: int = 8 << 20) -> DataFrame:
-    """key and its sorted distinct shingle hashes, for verification of the few texts that have candidates."""
-
-    def run(batches):
-        for ids, sets in shingle_batches(batches, n, split_words, limit):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
-
-    return texts.mapInArrow(run, "key bigint, shingles array<bigint>")
-
-
-def within(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows of (key, text) whose key is needed; the keys are broadcast while few, so that texts aren't shuffled."""
-    few = needed.count() * 16 <= BROADCAST_BYTES
-    return texts.join(F.broadcast(needed) if few else needed, "key", "left_semi").select("key", "text")
-
-
 def connect(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 64) -> DataFrame:
     """key, component (its least key) of every key in edges (a, b).
 
