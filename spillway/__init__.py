@@ -9,7 +9,7 @@ _PLACES = {
     "plans.app": "AppConfig Plugin synthesise",
     "plans.compile": "Compiler",
     "plans.document": "describe from_document to_document",
-    "plans.execute": "run_batch start_streams",
+    "plans.execute": "run_batch run_streams start_streams",
     "plans.nodes": "AddField Aggregate Branch Cast Checkpoint Coalesce ConsoleSink Custom Deduplicate DefinitionError Drop FileSink FileSource Filter "
     "FlatMap GeneratorSource IntervalJoin JdbcSink JdbcSource Join KafkaSink KafkaSource Limit LookupJoin Map MatchRecognize MemorySink Node "
     "OrderBy Pipeline Project Query RawSQL Rename Route SessionWindow SlideWindow TableSource TemporalJoin TopN TumbleWindow Union UpsertSink",

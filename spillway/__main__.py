@@ -38,14 +38,13 @@ def main(args: list[str]) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .plans.execute import run_batch, start_streams
+    from .plans.execute import run_batch, run_streams
 
     spark = SparkSession.builder.appName(pipeline.name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if pipeline.mode == "batch":
         run_batch(spark, pipeline)
     else:
-        for query in start_streams(spark, pipeline):
-            query.awaitTermination()
+        run_streams(spark, pipeline)
     return 0
 
 

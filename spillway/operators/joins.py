@@ -135,8 +135,8 @@ def temporal_join(facts: DataFrame, versions: DataFrame, keys: dict[str, str] |
 
 
 def lookup_join(rows: DataFrame, table: Callable[[], DataFrame], on: str, select: list[str] | None = None, kind: str = "left", aliases: tuple[str, str] = ("l", "r"), dialect: Dialect = Dialect()) -> DataFrame:
-    """Rows enriched from an external table as it is now. A stream meets a static table: Spark reads it anew for each
-    micro-batch, or ``streaming.LookupCache`` keeps it for a time to live. Catalyst broadcasts it while it is small."""
+    """Rows enriched from an external table as it is when this is called; Catalyst broadcasts it while it is small. A
+    stream joined directly keeps the files that the table had then; pipelines call this for each micro-batch instead."""
     kind_of(kind, ("inner", "left"))
     side = table()
     if select:

@@ -13,7 +13,8 @@ from .validate import Diagnostic, validate
 
 @dataclass(frozen=True)
 class AppConfig:
-    """Settings of an application; ``environments`` override them by name, those under * first."""
+    """Settings of an application; ``environments`` override them by name, those under * first. ``batch_size`` bounds the
+    rows of a batch that goes to Python, ``spark`` has session settings."""
 
     bootstrap_servers: str | None = None
     parallelism: int | None = None
@@ -94,6 +95,9 @@ def synthesise(pipeline: n.Pipeline, config: AppConfig | None = None, environmen
         changes["parallelism"] = said.parallelism
     if pipeline.checkpoint is None and said.checkpoint:
         changes["checkpoint"] = said.checkpoint
+    batch = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(said.batch_size)} if said.batch_size else {}
+    if settings := {**batch, **said.spark, **pipeline.spark}:
+        changes["spark"] = settings
     if said.state_backend and pipeline.state_backend == "rocksdb":
         changes["state_backend"] = said.state_backend
     made = dataclasses.replace(pipeline, **changes)

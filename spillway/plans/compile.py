@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -40,9 +41,11 @@ class Compiler:
     done: dict[n.Node, Rows] = field(default_factory=dict)
     routes: dict[n.Node, list[DataFrame]] = field(default_factory=dict)
     names: dict[int, str] = field(default_factory=dict)
+    caches: dict[int, streams.LookupCache] = field(default_factory=dict)
 
     def rows(self, node: n.Node) -> Rows:
-        for each in n.walk([node]):
+        # a lookup loads its table itself, when it wants it
+        for each in n.walk([node], lambda x: list(x.inputs)):
             if each not in self.done:
                 lower = LOWERING.get(type(each)) or next((f for t, f in LOWERING.items() if isinstance(each, t)), None)
                 if lower is None:
@@ -88,7 +91,7 @@ def _files(c: Compiler, node: n.FileSource, _) -> Rows:
 
 @lowers(n.JdbcSource)
 def _jdbc(c: Compiler, node: n.JdbcSource, _) -> Rows:
-    return Rows(external.read_jdbc(c.spark, node.url, node.table, properties=node.properties), schema=node.schema)
+    return Rows(external.read_jdbc(c.spark, node.url, node.table, node.partition_column, node.partitions, (node.lower, node.upper), node.properties), schema=node.schema)
 
 
 @lowers(n.KafkaSource)
@@ -221,6 +224,7 @@ def _top(c, node, ins):
 def _deduplicate(c, node, ins):
     df = c.materialised(ins[0])
     if df.isStreaming:
+        node = dataclasses.replace(node, within=node.within or c.defaults.get("state_ttl"))
         order = node.order.split()[0]
         downwards = node.order.upper().endswith(" DESC")
         if node.keep == "first" and not downwards and node.within and ins[0].schema and ins[0].schema.watermark and ins[0].schema.watermark.column == order:
@@ -249,11 +253,12 @@ def _join(c, node, ins):
     if left.span is not None and right.span is not None:
         return Rows(joins.windowed_join(c.materialised(left), c.materialised(right), node.on, node.type, node.aliases, c.dialect), left.span)
     a, b, extra = c.materialised(left), c.materialised(right), None
-    if node.state_ttl and a.isStreaming and b.isStreaming:
+    ttl = node.state_ttl or c.defaults.get("state_ttl")
+    if ttl and a.isStreaming and b.isStreaming:
         marks = [r.schema.watermark.column if r.schema and r.schema.watermark else None for r in (left, right)]
         if None in marks:
             raise n.DefinitionError("state_ttl needs sources with a watermark on both sides")
-        ttl = interval(node.state_ttl)
+        ttl = interval(ttl)
         extra = F.expr(f"{node.aliases[1]}.`{marks[1]}` BETWEEN {node.aliases[0]}.`{marks[0]}` - INTERVAL {ttl} AND {node.aliases[0]}.`{marks[0]}` + INTERVAL {ttl}")
     return Rows(joins.join(a, b, node.on, node.type, node.aliases, node.broadcast, extra, c.dialect))
 
@@ -294,8 +299,12 @@ def _lookup_join(c, node, ins):
             return Compiler(c.spark, False, c.dialect, c.defaults).frame(node.table)
         return external.read_jdbc(c.spark, node.url, node.table, properties=node.properties)
 
-    table = streams.LookupCache(load, node.cache_ttl) if node.cache_ttl else load
-    return Rows(joins.lookup_join(c.materialised(ins[0]), table, node.on, list(node.select) or None, node.type, node.aliases, c.dialect))
+    rows, table = c.materialised(ins[0]), load
+    if node.cache_ttl:
+        if rows.isStreaming:
+            raise n.DefinitionError("between a lookup with cache_ttl and its sink each operator takes row by row")
+        table = c.caches.setdefault(id(node), streams.LookupCache(load, node.cache_ttl, node.cache_max_rows))
+    return Rows(joins.lookup_join(rows, table, node.on, list(node.select) or None, node.type, node.aliases, c.dialect))
 
 
 # ---- SQL and patterns

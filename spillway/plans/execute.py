@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import Dialect
 from ..operators import stateless
@@ -14,7 +19,10 @@ from .validate import require_valid
 
 
 def compiler_for(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None) -> Compiler:
-    c = Compiler(spark, pipeline.mode == "streaming", Dialect(pipeline.compat, pipeline.integer_division), defaults or {})
+    for key, value in pipeline.spark.items():
+        spark.conf.set(key, value)
+    said = {"state_ttl": pipeline.state_ttl} if pipeline.state_ttl else {}
+    c = Compiler(spark, pipeline.mode == "streaming", Dialect(pipeline.compat, pipeline.integer_division), {**said, **(defaults or {})})
     c.names = {id(x): k for k, x in pipeline.nodes().items()}
     return c
 
@@ -55,32 +63,90 @@ def routed_sinks(pipeline: n.Pipeline) -> dict[int, tuple[n.Route, list[n.Sink]]
     return out
 
 
-def start_streams(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None, every: str | None = None) -> list:
-    """Queries of a pipeline. Each has its own folder below the checkpoint's location, and resumes from it."""
+#: Operators that take row by row: on a micro-batch they give what they would give on the stream.
+ROW_BY_ROW = (n.Filter, n.Map, n.FlatMap, n.Rename, n.Drop, n.Project, n.Cast, n.Coalesce, n.AddField, n.LookupJoin, n.Sink)
+
+
+def per_batch(c: Compiler, node: n.Node) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """A node's stream, and what is left to do with each micro-batch of it. Lookups after the last operator that isn't
+    row by row belong there: they join the table as it is then, or as its cache has it."""
+    path: list[n.Node] = []
+    at = node
+    while isinstance(at, ROW_BY_ROW) and at.inputs:
+        path.append(at)
+        at = at.inputs[0]
+    while path and not isinstance(path[-1], n.LookupJoin):
+        at = path.pop()
+    if not path:
+        return c.frame(node), lambda df: df
+    held: dict[str, DataFrame] = {}
+    after: n.Node = n.TableSource(frame=lambda _: held["rows"])
+    for each in reversed(path):
+        after = dataclasses.replace(each, inputs=(after,))
+
+    def apply(df: DataFrame) -> DataFrame:
+        held["rows"] = df
+        return Compiler(c.spark, False, c.dialect, c.defaults, caches=c.caches).frame(after)
+
+    return c.frame(path[-1].inputs[0]), apply
+
+
+class Kept:
+    """A table in memory that micro-batches add to; a batch that comes again replaces what it added before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.rows = spark, name, {}
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        self.rows[batch] = df.collect()
+        self.spark.createDataFrame([r for rows in self.rows.values() for r in rows], df.schema).createOrReplaceTempView(self.name)
+
+
+def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None, every: str | None = None) -> list[Callable[[], StreamingQuery]]:
+    """What starts each query of a pipeline. Each has its own folder below the checkpoint's location, and resumes from it."""
     require_valid(pipeline)
     streams.configure(spark, pipeline.state_backend, parallelism=pipeline.parallelism)
     c = compiler_for(spark, pipeline, defaults)
     ckpt = pipeline.checkpoint
     every = every or (ckpt.interval if ckpt else None)
-    queries, routed = [], set()
+    out: list[Callable[[], StreamingQuery]] = []
+    routed: set[int] = set()
 
-    def start(df: DataFrame, sink, name: str, **more):
-        location = f"{ckpt.location}/{name}" if ckpt and ckpt.location else None
-        queries.append(streams.start(df, sink, location, pipeline.output_mode, every, name=f"{pipeline.name}_{name}", **more))
+    def start(df: DataFrame, sink, key: str, name: str) -> None:
+        location = f"{ckpt.location}/{key}" if ckpt and ckpt.location else None
+        out.append(lambda: streams.start(df, sink, location, pipeline.output_mode, every, name=name))
 
     for route, sinks in routed_sinks(pipeline).values():
         conditions, dialect = [b.condition for b in route.branches], c.dialect
         by_index = {s.inputs[0].index: s for s in sinks}
         order = [*range(len(conditions)), -1]
         writers = [(lambda df, batch, s=by_index[k]: write_batch(s, df, c.names[id(s)], c.defaults, batch)) if k in by_index else None for k in order]
-        start(c.frame(route.inputs[0]), streams.routed(lambda df, q=conditions, d=dialect: stateless.route(df, q, d), writers), c.names[id(route)])
+        df, apply = per_batch(c, route.inputs[0])
+        start(df, streams.routed(lambda df, q=conditions, d=dialect, f=apply: stateless.route(f(df), q, d), writers), c.names[id(route)], f"{pipeline.name}_{c.names[id(route)]}")
         routed |= {id(s) for s in sinks}
     for sink in pipeline.sinks:
         if id(sink) in routed:
             continue
-        df, name = c.frame(sink), c.names[id(sink)]
-        if isinstance(sink, n.MemorySink):
-            queries.append(streams.start(df, None, f"{ckpt.location}/{name}" if ckpt and ckpt.location else None, pipeline.output_mode, every, name=name))
+        (df, apply), name = per_batch(c, sink), c.names[id(sink)]
+        if not isinstance(sink, n.MemorySink):
+            start(df, lambda rows, batch, s=sink, k=name, f=apply: write_batch(s, f(rows), k, c.defaults, batch), name, f"{pipeline.name}_{name}")
+        elif any(isinstance(x, n.LookupJoin) for x in n.walk([sink])):
+            kept = Kept(spark, name)
+            start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}")
         else:
-            start(df, lambda rows, batch, s=sink, k=name: write_batch(s, rows, k, c.defaults, batch), name)
-    return queries
+            start(df, None, name, name)
+    return out
+
+
+def start_streams(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None, every: str | None = None) -> list[StreamingQuery]:
+    """The running queries of a pipeline."""
+    return [begin() for begin in starters(spark, pipeline, defaults, every)]
+
+
+def run_streams(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None, every: str | None = None) -> int:
+    """Runs all queries until they end, each restarted after failures as the pipeline's ``restart`` says; the number of
+    restarts. What a query can't recover from is raised once the others have ended."""
+    begins = starters(spark, pipeline, defaults, every)
+    with ThreadPoolExecutor(max(1, len(begins))) as pool:
+        ran = [pool.submit(streams.Supervisor(begin, pipeline.restart or streams.Restart()).run) for begin in begins]
+    return sum(r.result() for r in ran)

@@ -90,9 +90,19 @@ class FileSource(Source):
 
 @dataclass(frozen=True, eq=False, kw_only=True)
 class JdbcSource(Source):
+    """A table, read by ``partitions`` tasks in ranges of a column where one is named with its bounds."""
+
     url: str
     table: str
     properties: dict = field(default_factory=dict)
+    partition_column: str | None = None
+    partitions: int = 1
+    lower: str | int | None = None
+    upper: str | int | None = None
+
+    def __post_init__(self):
+        if self.partition_column and (self.lower is None or self.upper is None):
+            raise DefinitionError("partition_column needs lower and upper")
 
 
 @dataclass(frozen=True, eq=False, kw_only=True)
@@ -353,7 +363,9 @@ class TemporalJoin(TwoInputs):
 
 @dataclass(frozen=True, eq=False, kw_only=True)
 class LookupJoin(Node):
-    """Enrichment from a table: a source node, or a JDBC url with a table's name. ``cache_ttl`` says how old it may be."""
+    """Enrichment from a table: a source node, or a JDBC url with a table's name. ``cache_ttl`` says how old it may be, and
+    ``cache_max_rows`` up to how many rows it is kept at all. Each micro-batch is one join, so there are no calls per row
+    to make in parallel."""
 
     table: Any
     on: str
@@ -361,6 +373,7 @@ class LookupJoin(Node):
     select: tuple[str, ...] = ()
     type: str = "left"
     cache_ttl: str | None = None
+    cache_max_rows: int | None = None
     properties: dict = field(default_factory=dict)
     aliases: tuple[str, str] = ("l", "r")
     kind: ClassVar[str] = "join"
@@ -420,16 +433,25 @@ class Custom(Node):
 
 @dataclass(frozen=True)
 class Checkpoint:
+    """State is exactly once in either mode: Spark commits a micro-batch's offsets and state together."""
+
     interval: str = "10 seconds"
     location: str | None = None
     mode: str = "exactly-once"
 
+    def __post_init__(self):
+        if self.mode not in ("exactly-once", "at-least-once"):
+            raise DefinitionError(f"checkpoint mode {self.mode!r}")
+
 
 MODES = ("streaming", "batch")
 
 
 @dataclass(frozen=True)
 class Pipeline:
+    """Sinks with all that they read. ``state_ttl`` holds for stream joins and deduplications without one of their own,
+    ``restart`` for run_streams, and ``spark`` has session settings."""
+
     name: str
     sinks: tuple[Node, ...]
     mode: str = "streaming"
@@ -441,6 +463,7 @@ class Pipeline:
     output_mode: str = "append"
     integer_division: bool = False
     compat: bool = True
+    spark: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if not self.name:
@@ -456,8 +479,9 @@ class Pipeline:
 
 # ---- trees
 
-def walk(roots: tuple[Node, ...] | list[Node]) -> Iterator[Node]:
-    """Every node once, inputs before those that read them."""
+def walk(roots: tuple[Node, ...] | list[Node], below: Callable[[Node], list[Node]] | None = None) -> Iterator[Node]:
+    """Every node once, inputs (``below``) before those that read them."""
+    below = below or sources_of
     seen: set[int] = set()
     open_: set[int] = set()
     stack: list[tuple[Node, bool]] = [(r, False) for r in reversed(roots)]
@@ -473,7 +497,7 @@ def walk(roots: tuple[Node, ...] | list[Node]) -> Iterator[Node]:
                 raise DefinitionError(f"a cycle through {node.component}")
             open_.add(id(node))
             stack.append((node, True))
-            stack += [(i, False) for i in reversed(sources_of(node))]
+            stack += [(i, False) for i in reversed(below(node))]
 
 
 def sources_of(node: Node) -> list[Node]:

@@ -117,26 +117,32 @@ def routed(branches: Callable[[DataFrame], list[DataFrame]], sinks: list[Callabl
 
 
 class LookupCache:
-    """A static table that is read again when older than its time to live; an older one counts as a miss."""
+    """A static table that is read again when older than its time to live; an older one counts as a miss. A table of
+    more than ``max_rows`` rows isn't kept: it is read each time. Call it for each micro-batch."""
 
-    def __init__(self, load: Callable[[], DataFrame], ttl: str, clock: Callable[[], float] = time.monotonic):
-        self.load, self.ttl, self.clock = load, duration_ms(ttl) / 1000, clock
+    def __init__(self, load: Callable[[], DataFrame], ttl: str, max_rows: int | None = None, clock: Callable[[], float] = time.monotonic):
+        self.load, self.ttl, self.max_rows, self.clock = load, duration_ms(ttl) / 1000, max_rows, clock
         self.table, self.at, self.loads = None, 0.0, 0
 
     def __call__(self) -> DataFrame:
-        if self.table is None or self.clock() - self.at >= self.ttl:
-            if self.table is not None:
-                self.table.unpersist()
-            self.table, self.at = self.load().persist(), self.clock()
-            self.loads += 1
+        if self.table is not None and self.clock() - self.at < self.ttl:
+            return self.table
+        if self.table is not None:
+            self.table.unpersist()
+            self.table = None
+        table = self.load()
+        self.loads += 1
+        if self.max_rows is not None and table.limit(self.max_rows + 1).count() > self.max_rows:
+            return table
+        self.table, self.at = table.persist(), self.clock()
         return self.table
 
 
 class Metrics(StreamingQueryListener):
     """Rows, batches, latency and watermark of each query, and its failure, from Spark's progress events."""
 
-    # Upper ends of the latency buckets, in milliseconds.
-    BUCKETS = (0.1, 0.5, 1, 5, 10, 50, 100, 500, 1000)
+    #: Upper ends of the latency buckets, in milliseconds: a micro-batch takes tens of them at least.
+    BUCKETS = (20, 50, 100, 200, 500, 1_000, 2_000, 5_000, 20_000, 60_000)
 
     def __init__(self):
         self.queries: dict[str, dict] = {}

@@ -10,7 +10,7 @@ from spillway.plans.compile import Compiler
 from spillway.plans.document import describe
 from spillway.schema import Field, Schema, SchemaError, Watermark
 
-ORDERS = Schema({"id": Field.BIGINT(), "amount": Field.DOUBLE(), "country": Field.STRING(), "ts": Field.TIMESTAMP(3)}, Watermark("ts", "ts - INTERVAL '5' SECOND"), ("id",))
+RIDES = Schema({"ride": Field.BIGINT(), "line": Field.STRING(), "fare": Field.DECIMAL(8, 2), "boarded": Field.TIMESTAMP(6)}, Watermark("boarded", "boarded - INTERVAL '2' MINUTE"), ("ride", "line"))
 SEQUENCE = Schema({"id": Field.BIGINT(), "name": Field.STRING()})
 
 
@@ -44,9 +44,9 @@ def test_shared_nodes_are_lowered_once(spark):
 
 
 def test_route_outputs(spark):
-    route = table(spark, [(10,), (50,), (20,), (80,)], "val int").via(n.Route(branches=(n.Branch("high", "val > 30"),)))
+    route = table(spark, [("tram", 3), ("bus", 8), (None, 1), ("bus", 2)], "line string, stops int").via(n.Route(branches=(n.Branch("short", "stops < 3"), n.Branch("buses", "line = 'bus'"))))
     c = Compiler(spark)
-    assert [sorted(r["val"] for r in c.frame(x).collect()) for x in (route.branch("high"), route.default())] == [[50, 80], [10, 20]]
+    assert [sorted(r["stops"] for r in c.frame(x).collect()) for x in (route.branch("buses"), route.branch("short"), route.default())] == [[8], [1, 2], [3]]
     for bad in (lambda: n.Route(branches=()), lambda: n.Route(branches=(n.Branch("a", "1"), n.Branch("a", "2")))):
         with pytest.raises(n.DefinitionError):
             bad()
@@ -97,18 +97,18 @@ def test_validation():
         with pytest.raises(n.DefinitionError):
             sp.Pipeline(**{"name": "p", "sinks": (sink,), **bad})
     with pytest.raises(n.DefinitionError):
-        n.Union(schemas=(ORDERS, SEQUENCE))
+        n.Union(schemas=(RIDES, SEQUENCE))
 
 
 def sample():
-    orders = n.KafkaSource(topic="orders", schema=ORDERS, name="orders")
-    counts = orders.filter("amount > 10").tumble("5 MINUTE", "ts").aggregate(["country"], {"n": "COUNT(*)"})
-    top = counts.via(n.TopN(partition_by=("country",), order_by={"n": "DESC"}, n=3))
-    ranked = orders.via(n.Query(select={"id": "id", "r": sp.Call("rank", over=sp.WindowSpec(("country",), {"amount": "DESC"}))}))
-    dim = n.JdbcSource(url="jdbc:x", table="t", name="dim")
-    looked = ranked.via(n.LookupJoin(table=dim, on="l.id = r.id"))
-    cast = looked.via(n.Cast(columns={"id": Field.ARRAY(Field.DECIMAL(5, 1))}))
-    return sp.Pipeline("sample", (top.to(n.KafkaSink(topic="out", key_by=("country",))), cast.to(n.ConsoleSink())), parallelism=4)
+    rides = n.KafkaSource(topic="rides", schema=RIDES, name="rides")
+    counts = rides.filter("fare > 0").tumble("20 MINUTE", "boarded").aggregate(["line"], {"riders": "COUNT(*)"})
+    top = counts.via(n.TopN(partition_by=("line",), order_by={"riders": "DESC"}, n=2))
+    ranked = rides.via(n.Query(select={"ride": "ride", "place": sp.Call("rank", over=sp.WindowSpec(("line",), {"fare": "DESC"}))}))
+    dim = n.JdbcSource(url="jdbc:x", table="tickets", name="dim", partition_column="ride", partitions=3, lower=0, upper=90)
+    looked = ranked.via(n.LookupJoin(table=dim, on="l.ride = r.ride"))
+    cast = looked.via(n.Cast(columns={"ride": Field.ARRAY(Field.DECIMAL(5, 1))}))
+    return sp.Pipeline("sample", (top.to(n.KafkaSink(topic="out", key_by=("line",))), cast.to(n.ConsoleSink())), parallelism=4)
 
 
 def test_document_round_trip():
@@ -116,15 +116,15 @@ def test_document_round_trip():
     again = sp.to_document(sp.from_document(json.dumps(document)))
     assert again == json.loads(json.dumps(document))
     hashed = {e["to"]: (e["shuffle"], e["keys"]) for e in document["edges"]}
-    assert hashed["Aggregate"] == ("HASH", ["country"]) and hashed["Filter"] == ("FORWARD", [])
+    assert hashed["Aggregate"] == ("HASH", ["line"]) and hashed["Filter"] == ("FORWARD", [])
     with pytest.raises(n.DefinitionError):
         sp.from_document({**document, "operators": [{"id": "x", "component": "os", "name": None, "props": {}}], "edges": [], "sinks": []})
 
 
 def test_describe():
     text = describe(sample())
-    assert "TopN" in text and "HASH(country)" in text
-    assert describe(sample(), "mermaid").startswith("graph LR") and "orders --> Filter" in describe(sample(), "mermaid")
+    assert "TopN" in text and "HASH(line)" in text
+    assert describe(sample(), "mermaid").startswith("graph LR") and "rides --> Filter" in describe(sample(), "mermaid")
     assert json.loads(describe(sample(), "json"))["name"] == "sample"
     with pytest.raises(ValueError):
         describe(sample(), "svg")
