@@ -20,6 +20,9 @@ def bounds(df):
     return sorted((r["window_start"].strftime("%H:%M"), r["window_end"].strftime("%H:%M")) for r in df.collect())
 
 
+# The times and bounds of windows and joins below are the scenarios that the semantics are stated by.
+
+
 def test_tumble_and_slide(spark):
     one = stamped(spark, ["12:03:27"])
     assert bounds(g.bounded(one, g.Span("tumble", "ts", "5 MINUTE"))) == [("12:00", "12:05")]
@@ -41,10 +44,11 @@ def test_session(spark):
 
 
 def test_aggregate_keys_first(spark):
-    df = spark.createDataFrame([("A", 10), ("B", 20), ("A", 30), ("B", 40), ("A", 50)], "product_id string, amount bigint")
-    out = g.aggregate(df, ["product_id"], {"total": "SUM(amount)", "product_id": "product_id"})
-    assert out.columns == ["product_id", "total"] and sorted(map(tuple, out.collect())) == [("A", 90), ("B", 60)]
-    assert g.aggregate(df, ["product_id"], {}).count() == 2
+    df = spark.createDataFrame([(2, "tide", 0.5), (1, "wind", 4.0), (2, "wind", None), (1, "wind", 1.5), (2, "tide", 2.5), (None, "sun", 9.0)], "site int, source string, mwh double")
+    out = g.aggregate(df, ["site", "source"], {"hours": "COUNT(mwh)", "source": "source", "best": "MAX(mwh)"})
+    assert out.columns == ["site", "source", "hours", "best"]
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "wind", 2, 4.0), (2, "tide", 2, 2.5), (2, "wind", 0, None), (None, "sun", 1, 9.0)]
+    assert g.aggregate(df, ["source"], {}).count() == 3
     assert g.aggregate(df.limit(0), [], {"n": "count(*)"}).collect() == [(0,)]
 
 
