@@ -104,13 +104,14 @@ def pick(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 
 
 #: Rows to drop are broadcast up to this size, so that the texts that stay aren't shuffled; beyond, a shuffled anti-join.
-ANTI_BYTES = 32 << 20
+#: A row of an id and a digest takes so much memory in a broadcast.
+ANTI_BYTES, ANTI_ROW = 32 << 20, 128
 
 
 def without(spark: SparkSession, docs: DataFrame, gone: DataFrame, same) -> DataFrame:
     """docs without the rows for which ``same()`` holds with a row of gone (narrow keys)."""
     gone = Scratch(spark, "gone").save(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() * 32 <= ANTI_BYTES else gone, same(), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() * ANTI_ROW <= ANTI_BYTES else gone, same(), "left_anti")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

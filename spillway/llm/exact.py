@@ -2,17 +2,19 @@
 
 Arriving rows are reduced to digest, identifier and locator. A streaming aggregation keeps one state row per digest in
 a RocksDB store on the executors' disks, snapshotted to the shared checkpoint folder; it never expires. Rows of a hot
-digest combine before the shuffle. Digests that were seen more than once are then checked on full texts by a grouping
-on (digest, text), which also combines before its shuffle, so that a collision of digests can't merge texts. Only
-DataFrame operations run on executors.
+digest combine before the shuffle. Digests that were seen more than once are hits: they are broadcast while they are few,
+so that only texts with a hit leave their task, and these are checked byte for byte by a grouping on (digest, text), which
+combines before its shuffle; a collision of digests can't merge texts. A row without a hit is its own group and needs no
+partner. Only DataFrame operations run on executors.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, without
+from .common import ANTI_BYTES, Scratch, pick, without
 
 #: The store keeps state on the executors' disks; all stores of an executor share this much memory.
 STORE = {
@@ -23,6 +25,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ARRIVALS = "digest binary, doc_id bigint, locator string"
+#: Memory of a hit's state row in a broadcast: digest, id, locator and the table's own share.
+HIT_BYTES = 320
 
 
 def sha256(text: Column) -> Column:
@@ -32,10 +36,19 @@ def sha256(text: Column) -> Column:
 
 def arrivals(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", locator: Column | None = None) -> DataFrame:
     """digest, doc_id, locator of each row, of a batch or a stream. The locator says where the content lies."""
-    where = F.input_file_name() if locator is None else locator
+    where = place_of(docs) if locator is None else locator
     return docs.select(digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("bigint").alias("doc_id"), where.alias("locator"))
 
 
+def place_of(docs: DataFrame) -> Column:
+    """file#row of rows read from Parquet, else their file, empty where they come from none."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.input_file_name()
+    return F.concat("_metadata.file_path", F.lit("#"), "_metadata.row_index")
+
+
 def keyed_state(stream: DataFrame) -> DataFrame:
     """The state: per digest the largest doc_id that came so far, its locator and the number of rows."""
     last = F.max(F.struct("doc_id", "locator"))
@@ -81,18 +94,27 @@ def exact_groups(spark: SparkSession, docs: DataFrame, digest=sha256, id_col: st
 
     rows = pick(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("digest", digest(F.col("text")))
-    hits = keyed.join(state.where("seen > 1").select("digest"), "digest", "left_semi")
-    full = hits.groupBy("digest", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
+    hits = state.where("seen > 1")
+    if hits.count() * HIT_BYTES <= ANTI_BYTES:
+        hits = F.broadcast(hits)
+    full = keyed.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
     checked = full.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     collided = scratch.save(checked.where("texts > 1").select("digest"), "collided")
-    sure = state.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.locator").alias("locator"), F.col("seen").alias("group_size"))
-    named = keyed.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(text).alias("digest"), F.sha2(text, 256).alias("text_sha256"), place_of(docs).alias("own"))
+    # of hits the state names the row that stays
+    shared = hits.select("digest", F.col("last.doc_id").alias("last_id"), F.col("last.locator").alias("last_at"), "seen")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        said = [F.when(F.col("seen").isNull(), a).otherwise(F.col(b)).alias(c) for a, b, c in ((F.col("doc_id"), "last_id", "keep_id"), (F.col("own"), "last_at", "locator"), (F.lit(1), "seen", "group_size"))]
+        return rows.join(shared, "digest", "left").select("digest", "doc_id", "text_sha256", *said)
+
     if collided.isEmpty():
-        out = named.join(sure, "digest")
+        out = settled(named)
     else:
         rest = keyed.join(collided, "digest", "left_semi").join(full.withColumnsRenamed({"keep": "keep_id", "n": "group_size"}), ["digest", "text"])
         rest = rest.join(state.select("digest", F.col("last.locator").alias("locator")), "digest").withColumn("text_sha256", F.sha2("text", 256))
-        out = named.join(collided, "digest", "left_anti").join(sure, "digest").unionByName(rest.select("digest", "doc_id", "text_sha256", "keep_id", "locator", "group_size"))
+        out = settled(named.join(collided, "digest", "left_anti")).unionByName(rest.select("digest", "doc_id", "text_sha256", "keep_id", "locator", "group_size"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
