@@ -28,16 +28,11 @@ def class_sets(texts: DataFrame, wanted: DataFrame, n: int, few: bool, limit: in
     return rows.mapInArrow(run, "key bigint, shingles array<bigint>")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Texts link if 100 * intersection >= percent * union of their distinct shingles, confirmed on the full sets. A text of
-    fewer words than a shingle is one shingle; null texts and texts without words have an empty set and link with
-    nothing. Rows that repeat a doc_id link with each other, whatever their texts, and each set links for itself. A null
-    doc_id links with nothing: component_id is null and the row is kept. doc_id must be integral.
-    """
+def grouped(spark: SparkSession, docs: DataFrame, bands: Bands, shingle: int, percent: int, id_col: str, text_col: str, crowd: int, by_id: bool) -> DataFrame:
+    """key, tag (of the text), n_shingles and name (the least key of its component) of each row. ``by_id``: a key with
+    several texts connects their components."""
     scratch = Scratch(spark, "near")
-    texts = pick(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("key"), "text")
+    texts = pick(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("key"), F.xxhash64("text").alias("tag"), "text")
     table = scratch.save(sketched(texts, bands, shingle), "sketches")
     # one class per distinct set, with a key of its own; its least doc_id names it. Keys are fixed by writing them
     named = table.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("rep"))
@@ -52,20 +47,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS,
         return class_sets(texts, wanted.select("class", "digest", F.col("rep").alias("key")), shingle, few)
 
     links = near_links(scratch, reps, sets_for, bands, percent, crowd)
-    # a doc_id with several texts connects their classes
-    held = owned.where("class is not null and key is not null").select("key", "class")
-    several = held.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("key", "a")
-    shared = held.join(several, "key").where("class <> a").select("a", F.col("class").alias("b")).distinct()
-    component = scratch.save(connect(scratch, links.unionByName(shared), "whole"), "components")
+    if by_id:
+        held = owned.where("class is not null and key is not null").select("key", "class")
+        several = held.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("key", "a")
+        links = links.unionByName(held.join(several, "key").where("class <> a").select("a", F.col("class").alias("b")).distinct())
+    component = scratch.save(connect(scratch, links, "whole"), "components")
     placed = classes.join(component, F.col("class") == F.col("key"), "left").select("class", "rep", "component")
     least = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     names = placed.join(least, "component", "left").select("class", F.coalesce("least", "rep").alias("name"))
-    out = owned.select("key", "n_shingles", "class").join(names, "class", "left")
-    out = out.select(F.col("key").alias("doc_id"), "n_shingles", F.coalesce("name", "key").alias("component_id"))
+    return owned.select("key", "tag", "n_shingles", "class").join(names, "class", "left").select("key", "tag", "n_shingles", F.coalesce("name", "key").alias("name"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts link if 100 * intersection >= percent * union of their distinct shingles, confirmed on the full sets. A text of
+    fewer words than a shingle is one shingle; null texts and texts without words have an empty set and link with
+    nothing. Rows that repeat a doc_id link with each other, whatever their texts, and each set links for itself. A row
+    with a null doc_id links nobody: it gets the component of its set where another row has that, else null, and is
+    kept. doc_id must be integral.
+    """
+    out = grouped(spark, docs, bands, shingle, percent, id_col, text_col, crowd, True)
+    out = out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without all but the least id of each group; other columns stay as they are, whatever their names."""
-    gone = near_duplicates(spark, docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return without(spark, docs, gone, lambda: F.col(id_col).cast("bigint") == F.col("__gone"))
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
+    """docs without all but the least id of each group; other columns stay as they are, whatever their names.
+
+    Rows that repeat a doc_id are judged by their own texts: one without near-duplicates stays, whatever else its id has.
+    Rows with a null doc_id stay.
+    """
+    rows = grouped(spark, docs, bands, shingle, percent, id_col, text_col, crowd, False)
+    gone = rows.where("key <> name").select(F.col("key").alias("__gone"), F.col("tag").alias("__tag")).distinct()
+    return without(spark, docs, gone, lambda: (F.col(id_col).cast("bigint") == F.col("__gone")) & (F.xxhash64(F.col(text_col)) == F.col("__tag")))

@@ -102,9 +102,9 @@ def shingle_sets(words: list[np.ndarray], n: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_batches(batches, n: int, split, limit: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def shingle_batches(batches, n: int, split, limit: int, keys: int = 1) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Blocks of keys with the shingle set of each text."""
-    for ids, texts in blocks(batches, limit):
+    for ids, texts in blocks(batches, limit, keys):
         vocabulary = Vocabulary()
         seqs = [vocabulary.ids(split(text)) if text else np.empty(0, np.int32) for text in texts]
         hashes = word_hashes(vocabulary.words)
@@ -153,13 +153,14 @@ def sketch_columns(sets: list[np.ndarray], bands: Bands) -> list[pa.Array]:
 
 
 def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = 4 << 20) -> DataFrame:
-    """key and the sketch columns of each row of (key bigint, text). Map-only: text isn't shuffled."""
+    """key, tag and the sketch columns of each row of (key bigint, tag bigint, text). Map-only: text isn't shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in shingle_batches(batches, n, split_words, limit):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *sketch_columns(sets, bands)], ["key", *SKETCH_TYPES])
+        for ids, sets in shingle_batches(batches, n, split_words, limit, 2):
+            key, tag = zip(*ids, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tag, pa.int64()), *sketch_columns(sets, bands)], ["key", "tag", *SKETCH_TYPES])
 
-    return texts.mapInArrow(run, f"key bigint, {SKETCH}")
+    return texts.mapInArrow(run, f"key bigint, tag bigint, {SKETCH}")
 
 
 def connect(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 64) -> DataFrame:
