@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,7 @@ from .common import ascii_lower
 
 #: Labelled rows that a fit takes at most (those with the least hashed urls), trees, their depth, and the step.
 FIT_ROWS, TREES, DEPTH, STEP = 20_000, 30, 3, 0.2
-#: Suffixes (last label, last two labels of a host) with statistics of their own, the most frequent of the sample.
-SUFFIXES = 500
+DIGITS = re.compile("[0-9]+")
 NUMERIC = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "percents", "longest_digits", "tld_rate", "suffix_rate")
 
 
@@ -70,13 +70,9 @@ def lexical(urls: list[str | None]) -> np.ndarray:
         data = np.frombuffer(url.encode("utf-8", "replace"), np.uint8)
         p = np.bincount(data, minlength=1) / max(1, len(data))
         p = p[p > 0]
-        digits = run = longest = 0
-        for c in url:
-            run = run + 1 if "0" <= c <= "9" else 0
-            digits += run > 0
-            longest = max(longest, run)
+        runs = [len(r) for r in DIGITS.findall(url)]
         parameters = len([x for x in query.split("&") if x])
-        out[k] = (len(url), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1, digits / max(1, len(url)), -(p * np.log2(p)).sum(), parameters, host.count("-"), url.count("%"), longest)
+        out[k] = (len(url), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1, sum(runs) / max(1, len(url)), -(p * np.log2(p)).sum(), parameters, host.count("-"), url.count("%"), max(runs, default=0))
     return out
 
 
@@ -103,7 +99,6 @@ class Trees:
         self.rate = float(y.mean())
         for place, table in ((0, self.tld), (1, self.suffix)):
             frame = pd.DataFrame({"s": [suffixes(u)[place] for u in urls], "y": y}).groupby("s").y.agg(["sum", "count"])
-            frame = frame.sort_values(["count", "sum"], ascending=False).head(SUFFIXES)
             # shrunk towards the mean as if 20 more rows had it
             table.update(((frame["sum"] + 20 * self.rate) / (frame["count"] + 20)).to_dict())
         x = self.features(urls)
