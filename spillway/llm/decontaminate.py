@@ -1,8 +1,9 @@
 """Benchmark decontamination: find every benchmark word window in every document, then drop spans or documents.
 
 Normalised benchmark windows form a broadcast hash table keyed by an anchor, one pair of neighbouring words of each
-window. Documents are split into words once, each pair of neighbours probes the table, and a hit is verified against
-all words of the window. Only verified hits are shuffled. Everything is DataFrame operations.
+window. Each pair of neighbours in a document probes the table, and a hit is verified against all words of the window;
+only verified hits are shuffled. A benchmark too large to be broadcast is joined by its anchors: pairs of neighbours are
+shuffled without their texts, and texts meet their candidates once. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ def hits_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
     fits = about["n"] <= BROADCAST_BYTES
 
     def probe(wins: DataFrame, second) -> DataFrame:
-        table = F.broadcast(wins) if fits else wins
+        if not fits:
+            return probe_by_shuffle(docs, wins, second)
+        table = F.broadcast(wins)
         # outer: else the optimiser adds a filter on the array's size, which splits every text once more
         spread = docs.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "p1"))
         start, size = F.col("pos") - F.col("at"), F.size("win")
@@ -62,6 +65,18 @@ def hits_of(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return hits.unionByName(probe(windows.where("a2 = ''"), F.lit(""))) if about["singles"] else hits
 
 
+def probe_by_shuffle(docs: DataFrame, wins: DataFrame, second) -> DataFrame:
+    """Hits of windows that aren't broadcast: anchors first, by words alone, then each text with all its candidates."""
+    spread = docs.select("doc_id", "digest", "w", F.posexplode_outer("w").alias("pos", "p1")).select("doc_id", "digest", "pos", "p1", second.alias("p2"))
+    met = spread.join(wins, (F.col("p1") == F.col("a1")) & (F.col("p2") == F.col("a2"))).select("doc_id", "digest", "item_id", "win", (F.col("pos") - F.col("at")).alias("from")).where(F.col("from") >= 0)
+    # rows that repeat an id and its text have the same candidates
+    found = met.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("item_id", "from", "win")).alias("met")).select(F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), "met")
+    each = docs.join(found, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("digest") == F.col("m_digest")))
+    true = F.filter("met", lambda c: F.slice("w", c["from"] + 1, F.size(c["win"])) == c["win"])
+    hit = each.select("doc_id", "digest", F.explode(true).alias("c"))
+    return hit.select("doc_id", "digest", F.col("c.item_id").alias("item_id"), F.col("c.from").alias("from"), (F.col("c.from") + F.size("c.win")).alias("upto"))
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, text_digest.
 
