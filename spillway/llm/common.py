@@ -60,6 +60,7 @@ def ship(spark: SparkSession) -> None:
 
 
 _roots: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -85,7 +86,14 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes a table and reads it back. Its shuffles' files go when it is written, not when the driver's memory is
+        next collected."""
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame | None = None) -> DataFrame:

@@ -16,23 +16,34 @@ document has it. A window's copies pick the same unit, so those that pick a unit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, mix, word_hashes
+from .common import Scratch, blocks, mix
 from .passages import BANDS, PERCENT, SHINGLE
-from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, sketch_arrays, sorted_groups
+from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, set_digest, sketch_arrays, sorted_groups
 
 #: Words of a passage at least; of a unit; whose hash is compared; and places of a window of cuts.
-LEAST, UNIT, GRAM, SPREAD = 51, 25, 4, 80
+LEAST, UNIT, GRAM, SPREAD = 51, 25, 4, 200
+#: Repeated units, and the texts of open ones with their units, are broadcast up to this size; beyond, a shuffled join.
+WIDE_BYTES = 64 << 20
 #: Rows without a doc_id get a number from here on, after all doc_ids.
 NAMELESS = 1 << 62
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+#: A number for each byte, the same for letters in either case; bytes whose sums are held at once.
+BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(MULTIPLIERS[1]))
+BYTES[65:91] = BYTES[97:123]
+SEGMENT = 1 << 20
+#: Of a shingle's hash: two of a thousand shingles are equal by chance once in 35 million paragraphs.
+SHINGLE_BITS = 44
+
+
 class Words:
     """The words of a block of texts, one array for all: hashes after lower-casing A-Z, code points of start and end
     within the text, and the first word of each text (one more number: of all words)."""
@@ -43,19 +54,24 @@ class Words:
         data = np.frombuffer(joined, np.uint8)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.diff(np.concatenate((np.ones(1, np.int8), space.view(np.int8), np.ones(1, np.int8))))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        where, stops = starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw], dtype=np.int64)))
         self.begins = np.searchsorted(starts, at)
         self.text = np.repeat(np.arange(len(raw)), np.diff(self.begins))
         if not joined.isascii():
             # code points before each byte: bytes that aren't continuation bytes
-            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            points = np.concatenate((np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
             starts, ends, at = points[starts], points[ends], points[np.minimum(at, len(data))]
         base = at[:-1][self.text]
         self.starts, self.ends = starts - base, ends - base
-        vocabulary = Vocabulary()
-        ids = vocabulary.ids(joined.lower().split())
-        self.hashes = mix(word_hashes(vocabulary.words))[ids] if len(ids) else np.empty(0, np.uint64)
+        self.hashes = np.empty(len(where), np.uint64)
+        k = 0
+        while k < len(where):
+            # as many words as start within a segment: sums over bytes take 8 bytes each
+            upto = int(np.searchsorted(where, where[k] + SEGMENT))
+            first, last = where[k], stops[upto - 1]
+            self.hashes[k:upto] = Rolling(BYTES[data[first:last]], MULTIPLIERS[1])(where[k:upto] - first, stops[k:upto] - where[k:upto])
+            k = upto
         self.limits = self.begins[1:][self.text]
 
     def __len__(self) -> int:
@@ -65,12 +81,22 @@ class Words:
 class Rolling:
     """Hash of any run of words, from sums of hashes times powers of an odd number: the same wherever the run stands."""
 
+    known: ClassVar[dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+
     def __init__(self, hashes: np.ndarray, multiplier: int):
-        n = max(1, len(hashes))
-        up = np.cumprod(np.full(n, multiplier, np.uint64))
-        self.down = np.cumprod(np.full(n, pow(multiplier, -1, 1 << 64), np.uint64))
+        up, self.down = self.powers(multiplier, len(hashes))
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])))
 
+    @classmethod
+    def powers(cls, multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the number and of its inverse; those of a segment are kept."""
+        if n > SEGMENT or multiplier not in cls.known:
+            made = tuple(np.cumprod(np.full(max(n, SEGMENT), m, np.uint64)) for m in (multiplier, pow(multiplier, -1, 1 << 64)))
+            if n > SEGMENT:
+                return made
+            cls.known[multiplier] = made
+        return cls.known[multiplier]
+
     def __call__(self, start: np.ndarray, size) -> np.ndarray:
         """One hash for each start; sizes are at least 1."""
         with np.errstate(over="ignore"):
@@ -122,9 +148,14 @@ class Paragraphs:
         many = np.maximum(size - n + 1, 1)
         owner = np.repeat(np.arange(len(size)), many)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + self.first[owner]
-        grams = rolling(at, np.minimum(n, size)[owner]) if len(at) else np.empty(0, np.uint64)
-        order = np.lexsort((grams, owner))
-        grams, owner = grams[order], owner[order]
+        grams = rolling(at, np.minimum(n, size)[owner]) >> np.uint64(64 - SHINGLE_BITS) if len(at) else np.empty(0, np.uint64)
+        if len(size) < 1 << (64 - SHINGLE_BITS):
+            # paragraph and shingle in one number sort fast
+            both = np.sort((owner.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | grams)
+            grams, owner = both & np.uint64((1 << SHINGLE_BITS) - 1), (both >> np.uint64(SHINGLE_BITS)).astype(np.int64)
+        else:
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
         self.flat = grams[new]
@@ -144,7 +175,9 @@ def owners(keys: list[tuple], text: np.ndarray, places: int = 2) -> list[np.ndar
     return list(table[text].T)
 
 
-def paragraphs(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20) -> DataFrame:
+def paragraphs(texts: DataFrame, n: int, limit: int = 2 << 20) -> DataFrame:
+    """Places and digests of all paragraphs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, said in blocks(batches, limit, 2):
             words = Words(said)
@@ -153,9 +186,23 @@ def paragraphs(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20) ->
                 continue
             base = words.begins[cut.text]
             columns = [*owners(keys, cut.text), cut.number, cut.first - base, cut.upto - base, words.starts[cut.first], words.ends[cut.upto - 1]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, PLACES.values(), strict=True)), *sketch_arrays(cut.flat, cut.offsets, bands, 4096)], [*PLACES, *SKETCH_TYPES])
+            digests = pa.array([set_digest(cut.set(k)) for k in range(len(cut.first))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, PLACES.values(), strict=True)), digests], [*PLACES, "digest"])
+
+    return texts.mapInArrow(run, f"{PLACE}, digest binary")
+
+
+def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20) -> DataFrame:
+    """who, tag, number and sketch columns of all paragraphs. They are cut again, so that sketches of copies, which are
+    most of a paragraph's bytes, are never written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, said in blocks(batches, limit, 2):
+            cut = Paragraphs(Words(said), n)
+            if len(cut.first):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in owners(keys, cut.text)), pa.array(cut.number.astype(np.int32)), *sketch_arrays(cut.flat, cut.offsets, bands, 4096)], ["who", "tag", "number", *SKETCH_TYPES])
 
-    return texts.mapInArrow(run, f"{PLACE}, {SKETCH}")
+    return texts.mapInArrow(run, f"who bigint, tag bigint, number int, {SKETCH}")
 
 
 def wanted_sets(texts: DataFrame, wanted: DataFrame, n: int, limit: int = 2 << 20) -> DataFrame:
@@ -210,9 +257,9 @@ def chains(places: DataFrame, least: int) -> DataFrame:
 
 def alike(scratch: Scratch, texts: DataFrame, bands: Bands, shingle: int, percent: int, least: int) -> DataFrame:
     """Chains (rows HELD) of paragraphs whose components several documents have."""
-    table = scratch.save(paragraphs(texts, bands, shingle), "paragraphs")
+    table = scratch.save(paragraphs(texts, shingle), "paragraphs")
     place = F.min(F.struct("who", "tag", "number")).alias("place")
-    classes = table.groupBy("digest").agg(place, F.max("who").alias("last"), *[F.first(c).alias(c) for c in ("n_shingles", "keys", "marks")])
+    classes = sketches(texts, bands, shingle).groupBy("digest").agg(place, F.max("who").alias("last"), *[F.first(c).alias(c) for c in ("n_shingles", "keys", "marks")])
     # ids are fixed by writing them
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("key"), "*"), "classes")
 
@@ -228,18 +275,20 @@ def alike(scratch: Scratch, texts: DataFrame, bands: Bands, shingle: int, percen
     named = scratch.save(owned.select("digest", "component").join(several, "component"), "named")
     few = named.count() * 32 <= BROADCAST_BYTES
     places = table.select(*PLACES, "digest").join(F.broadcast(named) if few else named, "digest")
-    return scratch.save(chains(places, least), "chains")
+    out = scratch.save(chains(places, least), "chains")
+    scratch.drop("paragraphs", "classes", "named", "wanted")
+    return out
 
 
 # ---- words
 
 
-UNITS = {"who": pa.int64(), "tag": pa.int64(), "unit": pa.int64(), "after": pa.int64(), "before": pa.int64(), "w": pa.int32(), "upto": pa.int32(), "start": pa.int32(), "end": pa.int32()}
+UNITS = {"unit": pa.int64(), "around": pa.int64(), "who": pa.int64(), "tag": pa.int64(), "w": pa.int32(), "upto": pa.int32(), "start": pa.int32(), "end": pa.int32()}
 
 
-def units(texts: DataFrame, least: int, limit: int = 2 << 20) -> DataFrame:
-    """Each unit's place, widened to all windows of ``least`` words that hold it (within the text), and the hashes of
-    the unit, of ``least`` words from its start on, and of those up to its end."""
+def units(texts: DataFrame, least: int, columns: tuple[str, ...], limit: int = 2 << 20) -> DataFrame:
+    """Of each unit the wanted columns: its hash; that of all windows of ``least`` words that hold it (within the text)
+    and of the unit's place in them; and the place of these windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, said in blocks(batches, limit, 2):
@@ -251,10 +300,11 @@ def units(texts: DataFrame, least: int, limit: int = 2 << 20) -> DataFrame:
             text = words.text[at]
             base = words.begins[text]
             first, upto = np.maximum(at + UNIT - least, base), np.minimum(at + least, words.limits[at])
-            columns = [*owners(keys, text), rolling(at, UNIT), rolling(at, upto - at), rolling(first, at + UNIT - first), first - base, upto - base, words.starts[first], words.ends[upto - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, UNITS.values(), strict=True)], [*UNITS])
+            around = mix(rolling(first, upto - first) + (at - first).astype(np.uint64))
+            made = dict(zip(UNITS, [rolling(at, UNIT), around, *owners(keys, text), first - base, upto - base, words.starts[first], words.ends[upto - 1]], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(made[c].view(np.int64) if made[c].dtype == np.uint64 else made[c].astype(UNITS[c].to_pandas_dtype()), UNITS[c]) for c in columns], list(columns))
 
-    return texts.mapInArrow(run, "who bigint, tag bigint, unit bigint, after bigint, before bigint, w int, upto int, start int, end int")
+    return texts.mapInArrow(run, ", ".join(f"{c} {'int' if UNITS[c] == pa.int32() else 'bigint'}" for c in columns))
 
 
 def windows(texts: DataFrame, asked: DataFrame, few: bool, least: int, limit: int = 2 << 20) -> DataFrame:
@@ -280,17 +330,18 @@ PIECE = ("who", "tag", "w", "upto", "start", "end", "first")
 
 def verbatim(scratch: Scratch, texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Pieces that units settle by themselves, and rows HELD of the windows around other repeated units."""
-    table = scratch.save(units(texts, least), "units")
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("who", "after", "before") for f in (F.min, F.max)]
+    table = units(texts, least, ("unit", "around", "who"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("who", "around") for name, f in (("min", F.min), ("max", F.max))]
     known = table.groupBy("unit").agg(*ends).where("min_who < max_who")
-    known = scratch.save(known.select("unit", F.col("min_who").alias("first"), F.expr("min_after = max_after AND min_before = max_before").alias("settled")), "repeated-units")
-    small = known.count() * 32 <= BROADCAST_BYTES
-    placed = scratch.save(table.drop("after", "before").join(F.broadcast(known) if small else known, "unit"), "placed")
-    open_units = placed.where("not settled").select("who", "tag", "unit")
-    few = open_units.count() * 16 <= BROADCAST_BYTES
-    asked = open_units.groupBy("who", "tag").agg(F.collect_set("unit").alias("units"))
-    rows = scratch.save(windows(texts, asked, few, least), "windows")
-    scratch.drop("units", "repeated-units")
+    known = scratch.save(known.select("unit", F.col("min_who").alias("first"), F.expr("min_around = max_around").alias("settled")), "repeated-units")
+    small = known.count() * 64 <= WIDE_BYTES
+    places = units(texts, least, ("unit", "who", "tag", "w", "upto", "start", "end"))
+    placed = scratch.save(places.join(F.broadcast(known) if small else known, "unit"), "placed")
+    asked = placed.where("not settled").groupBy("who", "tag").agg(F.collect_set("unit").alias("units"))
+    asked = scratch.save(asked, "asked")
+    about = asked.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("units")), F.lit(0)).alias("units")).first()
+    rows = scratch.save(windows(texts, asked, about["texts"] * 96 + about["units"] * 16 <= WIDE_BYTES, least), "windows")
+    scratch.drop("repeated-units", "asked")
     return placed.where("settled").select(*PIECE), rows
 
 

@@ -73,12 +73,12 @@ def chains(rows):
 def edited_passages(seed):
     """Long passages with a few edits, which paragraphs link, beside verbatim ones and lone texts."""
     rng = random.Random(seed)
-    common = [helpers.prose(rng, rng.randrange(60, 400)) for _ in range(5)]
+    common = [helpers.prose(rng, rng.randrange(60, 900)) for _ in range(5)]
     rows = []
     for k in range(36):
         parts = [helpers.prose(rng, rng.randrange(0, 120))]
         if rng.random() < 0.7:
-            parts += [helpers.edited(rng, rng.choice(common), rng.randrange(0, 9)), helpers.prose(rng, rng.randrange(0, 60))]
+            parts += [helpers.edited(rng, rng.choice(common), rng.randrange(0, 14)), helpers.prose(rng, rng.randrange(0, 60))]
         rows.append((k, rng.choice(["\n", " ", "  "]).join(parts)))
     return rows
 
