@@ -215,6 +215,8 @@ def with_bounds(rows: Rows, keys: tuple[str, ...]) -> list[str]:
 @lowers(n.TopN)
 def _top(c, node, ins):
     rows = ins[0]
+    if rows.df.isStreaming:
+        raise n.DefinitionError("a stream's top-n is one of closed windows: partition it by window_start, after an aggregate, in append mode")
     if rows.span is not None and rows.span.kind == "session" and not rows.keys:
         rows = Rows(rows.df, rows.span, node.partition_by)
     return Rows(grouping.top(c.materialised(rows), with_bounds(rows, node.partition_by), node.order_by, node.n, node.rank_column))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import Dialect
 from ..operators import stateless
+from ..operators.grouping import END, START
 from ..sinks import write
 from ..streaming import run as streams
 from . import nodes as n
@@ -67,15 +68,25 @@ def routed_sinks(pipeline: n.Pipeline) -> dict[int, tuple[n.Route, list[n.Sink]]
 ROW_BY_ROW = (n.Filter, n.Map, n.FlatMap, n.Rename, n.Drop, n.Project, n.Cast, n.Coalesce, n.AddField, n.LookupJoin, n.Sink)
 
 
-def per_batch(c: Compiler, node: n.Node) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def within_windows(node: n.Node) -> bool:
+    """A top-n of closed windows: an aggregate of windows gives all rows of a window in one micro-batch."""
+    if not isinstance(node, n.TopN) or not {START, END} & set(node.partition_by):
+        return False
+    at = node.inputs[0]
+    while isinstance(at, ROW_BY_ROW) and at.inputs:
+        at = at.inputs[0]
+    return isinstance(at, n.Aggregate) and any(isinstance(x, n.WindowNode) for x in n.walk([at]))
+
+
+def per_batch(c: Compiler, node: n.Node, mode: str = "append") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """A node's stream, and what is left to do with each micro-batch of it. Lookups after the last operator that isn't
-    row by row belong there: they join the table as it is then, or as its cache has it."""
+    row by row belong there: they join the table as it is then, or as its cache has it. So do top-ns of closed windows."""
     path: list[n.Node] = []
     at = node
-    while isinstance(at, ROW_BY_ROW) and at.inputs:
+    while at.inputs and (isinstance(at, ROW_BY_ROW) or mode == "append" and within_windows(at)):
         path.append(at)
         at = at.inputs[0]
-    while path and not isinstance(path[-1], n.LookupJoin):
+    while path and not isinstance(path[-1], (n.LookupJoin, n.TopN)):
         at = path.pop()
     if not path:
         return c.frame(node), lambda df: df
@@ -121,16 +132,16 @@ def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None =
         by_index = {s.inputs[0].index: s for s in sinks}
         order = [*range(len(conditions)), -1]
         writers = [(lambda df, batch, s=by_index[k]: write_batch(s, df, c.names[id(s)], c.defaults, batch)) if k in by_index else None for k in order]
-        df, apply = per_batch(c, route.inputs[0])
+        df, apply = per_batch(c, route.inputs[0], pipeline.output_mode)
         start(df, streams.routed(lambda df, q=conditions, d=dialect, f=apply: stateless.route(f(df), q, d), writers), c.names[id(route)], f"{pipeline.name}_{c.names[id(route)]}")
         routed |= {id(s) for s in sinks}
     for sink in pipeline.sinks:
         if id(sink) in routed:
             continue
-        (df, apply), name = per_batch(c, sink), c.names[id(sink)]
+        (df, apply), name = per_batch(c, sink, pipeline.output_mode), c.names[id(sink)]
         if not isinstance(sink, n.MemorySink):
             start(df, lambda rows, batch, s=sink, k=name, f=apply: write_batch(s, f(rows), k, c.defaults, batch), name, f"{pipeline.name}_{name}")
-        elif any(isinstance(x, n.LookupJoin) for x in n.walk([sink])):
+        elif any(isinstance(x, (n.LookupJoin, n.TopN)) for x in n.walk([sink])):
             kept = Kept(spark, name)
             start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}")
         else:

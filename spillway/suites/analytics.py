@@ -51,6 +51,19 @@ def rollup(d):
     return source(d, "lineitem").sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM input GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
 
+GROUPING = "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping({0}) AS whole FROM {1} GROUP BY {2}"
+
+
+@query(GROUPING.format("l_linestatus", "lineitem", "GROUPING SETS ((l_returnflag, l_linenumber), (l_linestatus, l_linenumber), ())"))
+def grouping_sets(d):
+    return source(d, "lineitem").sql(GROUPING.format("l_linestatus", "input", "GROUPING SETS ((l_returnflag, l_linenumber), (l_linestatus, l_linenumber), ())"))
+
+
+@query(GROUPING.format("l_linenumber", "lineitem", "CUBE (l_returnflag, l_linestatus, l_linenumber)"))
+def cube(d):
+    return source(d, "lineitem").sql(GROUPING.format("l_linenumber", "input", "CUBE (l_returnflag, l_linestatus, l_linenumber)"))
+
+
 @query(f"SELECT event_type, {BUCKET.format('7 DAY')} AS window_start, {BUCKET.format('7 DAY')} + INTERVAL 7 DAY AS window_end, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def tumble_week(d):
     return source(d, "events").tumble("7 DAY", "ts").aggregate(["event_type"], {"n": "COUNT(*)", "total": "round(SUM(value), 2)"})

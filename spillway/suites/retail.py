@@ -102,6 +102,32 @@ def interval_join(d):
     return both.via(n.Project(columns=("view_id", "purchase_id", "user_id")))
 
 
+BOUNDS = "v.user_id = p.user_id AND p.ts BETWEEN v.ts - INTERVAL 1 MINUTE AND v.ts + INTERVAL 5 HOUR"
+SIDES = "(SELECT * FROM events WHERE event_type = 'view') v {} JOIN (SELECT * FROM events WHERE event_type = 'purchase') p"
+
+
+def views_near_purchases(d, kind):
+    views = source(d, "events").filter("event_type = 'view'").map({"view_id": "event_id", "user_id": "user_id", "ts": "ts"})
+    bought = source(d, "events").filter("event_type = 'purchase'").map({"purchase_id": "event_id", "buyer": "user_id", "pts": "ts"})
+    both = n.IntervalJoin(inputs=(views, bought), on="l.user_id = r.buyer", left_ts="ts", right_ts="pts", lower="-1 MINUTE", upper="5 hours", type=kind)
+    return both.via(n.Project(columns=("view_id", "purchase_id")))
+
+
+@query(f"SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM {SIDES.format('LEFT')} ON {BOUNDS}")
+def interval_join_left(d):
+    return views_near_purchases(d, "left")
+
+
+@query(f"SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM {SIDES.format('RIGHT')} ON {BOUNDS}")
+def interval_join_right(d):
+    return views_near_purchases(d, "right")
+
+
+@query(f"SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM {SIDES.format('FULL')} ON {BOUNDS}")
+def interval_join_full(d):
+    return views_near_purchases(d, "full")
+
+
 def purchases_and_views(d):
     bought = source(d, "events").filter("event_type = 'purchase'").map({"event_id": "event_id", "user_id": "user_id", "ts": "ts"})
     views = source(d, "events").filter("event_type = 'view'").map({"view_id": "event_id", "viewer": "user_id", "vts": "ts", "op": "CASE WHEN value < 10 THEN 'DELETE' ELSE 'INSERT' END"})
@@ -143,6 +169,29 @@ def windowed_join(d):
     return n.Join(inputs=tuple(sides), on="l.user_id = r.clicker").via(n.Project(columns=("user_id", "view_id", "click_id", "window_start", "window_end")))
 
 
+HOURS = "(SELECT user_id, event_id AS {0}_id, date_trunc('hour', ts) AS w FROM events WHERE event_type = '{0}')"
+
+
+def views_beside_clicks(d, kind):
+    sides = [source(d, "events").filter(f"event_type = '{k}'").map({"user_id" if k == "view" else "clicker": "user_id", f"{k}_id": "event_id", f"{k}_ts": "ts"}).tumble("1 hour", f"{k}_ts") for k in ("view", "click")]
+    return n.Join(inputs=tuple(sides), on="l.user_id = r.clicker", type=kind)
+
+
+@query(f"SELECT view_id, click_id, coalesce(a.w, b.w) AS window_start, coalesce(a.w, b.w) + INTERVAL 1 HOUR AS window_end FROM {HOURS.format('view')} a LEFT JOIN {HOURS.format('click')} b ON a.user_id = b.user_id AND a.w = b.w")
+def windowed_join_left(d):
+    return views_beside_clicks(d, "left").via(n.Project(columns=("view_id", "click_id", "window_start", "window_end")))
+
+
+@query(f"SELECT view_id, click_id, coalesce(a.w, b.w) AS window_start, coalesce(a.w, b.w) + INTERVAL 1 HOUR AS window_end FROM {HOURS.format('view')} a FULL JOIN {HOURS.format('click')} b ON a.user_id = b.user_id AND a.w = b.w")
+def windowed_join_full(d):
+    return views_beside_clicks(d, "full").via(n.Project(columns=("view_id", "click_id", "window_start", "window_end")))
+
+
+@query(f"SELECT view_id, a.w AS window_start, a.w + INTERVAL 1 HOUR AS window_end FROM {HOURS.format('view')} a ANTI JOIN {HOURS.format('click')} b ON a.user_id = b.user_id AND a.w = b.w")
+def windowed_join_anti(d):
+    return views_beside_clicks(d, "anti").via(n.Project(columns=("view_id", "window_start", "window_end")))
+
+
 def over(d, sql, *tables):
     return n.RawSQL(sql=sql, inputs=tuple(source(d, t) for t in tables))
 

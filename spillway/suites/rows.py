@@ -121,6 +121,38 @@ def union_all_whole(d):
     return n.Union(inputs=(left, source(d, "events").map(few).via(n.Project(columns=("user_id", "event_id")))))
 
 
+SETS = {k: f"SELECT c_nationkey AS k FROM customer {k} SELECT s_nationkey AS k FROM supplier" for k in ("INTERSECT", "INTERSECT ALL", "EXCEPT", "EXCEPT ALL", "UNION")}
+
+
+def of_both(d, text):
+    return n.RawSQL(sql=text, inputs=(source(d, "customer"), source(d, "supplier")))
+
+
+@query(SETS["INTERSECT"])
+def set_intersect(d):
+    return of_both(d, SETS["INTERSECT"])
+
+
+@query(SETS["INTERSECT ALL"])
+def set_intersect_all(d):
+    return of_both(d, SETS["INTERSECT ALL"])
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT user_id AS k FROM events")
+def set_except(d):
+    return n.RawSQL(sql="SELECT c_custkey AS k FROM customer EXCEPT SELECT user_id AS k FROM events", inputs=(source(d, "customer"), source(d, "events")))
+
+
+@query(SETS["EXCEPT ALL"])
+def set_except_all(d):
+    return of_both(d, SETS["EXCEPT ALL"])
+
+
+@query(SETS["UNION"])
+def set_union(d):
+    return of_both(d, SETS["UNION"])
+
+
 @query("SELECT CASE WHEN value > 50 THEN 'high' WHEN event_type = 'view' THEN 'views' ELSE 'rest' END AS route, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def route_first_match(spark, d):
     route = source(d, "events").via(n.Route(branches=(n.Branch("high", "value > 50"), n.Branch("views", "event_type = 'view'"))))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grouping, joins, stateless
+from ..plans import nodes as n
+from ..plans.execute import start_streams
 from ..schema import Field, Schema, Watermark
 from ..sources import external
-from ..streaming import run
+from ..streaming import run as streaming
 from .base import query
 
 EVENTS = Schema(
@@ -25,7 +27,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def settle(df: DataFrame, mode: str) -> DataFrame:
     """The finite stream's whole output; each query has a table in memory of its own."""
-    return run.collect(df, f"stream_{uuid.uuid4().hex[:12]}", mode)
+    return streaming.collect(df, f"stream_{uuid.uuid4().hex[:12]}", mode)
 
 
 @query("SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 50")
@@ -72,3 +74,59 @@ def stream_deduplicate(spark, d):
 def stream_lookup(spark, d):
     rows = joins.lookup_join(events(spark, d), lambda: spark.read.parquet(f"{d}/customer.parquet"), "l.user_id = r.c_custkey", ["c_name"], "inner")
     return settle(rows.select("event_id", "c_name"), "append")
+
+
+def piped(spark: SparkSession, node: n.Node, mode: str = "append") -> DataFrame:
+    """All that a pipeline of one node gives over the files that are there."""
+    name = f"piped_{uuid.uuid4().hex[:12]}"
+    for begun in start_streams(spark, n.Pipeline(name, (node.to(n.MemorySink(name=name)),), output_mode=mode), every="available-now"):
+        begun.awaitTermination()
+    return spark.table(name)
+
+
+def event_source(d: str) -> n.Node:
+    return n.FileSource(path=f"{d}/events.parquet", schema=EVENTS)
+
+
+@query("SELECT e.event_id, c.c_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
+def stream_lookup_ttl(spark, d):
+    """A lookup within each micro-batch, of a table that is kept for a time."""
+    table = n.FileSource(path=f"{d}/customer.parquet")
+    looked = event_source(d).via(n.LookupJoin(table=table, on="l.user_id = r.c_custkey", select=("c_name",), cache_ttl="1 minute", cache_max_rows=1_000_000))
+    return piped(spark, looked.via(n.Project(columns=("event_id", "c_name"))))
+
+
+CLOSED = """(SELECT user_id, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY ALL)
+  WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
+@query(f"SELECT user_id, window_start, n FROM {CLOSED}")
+def stream_closed_windows(spark, d):
+    """Windows that the watermark has passed; those still open stay in the state."""
+    counts = event_source(d).tumble("1 day", "ts").aggregate(["user_id"], {"n": "COUNT(*)"})
+    return piped(spark, counts).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query(f"SELECT user_id, window_start, n FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, user_id) AS place FROM {CLOSED}) WHERE place <= 3")
+def stream_window_top(spark, d):
+    """The three busiest users of each day that has closed."""
+    counts = event_source(d).tumble("1 day", "ts").aggregate(["user_id"], {"n": "COUNT(*)"})
+    top = counts.via(n.TopN(partition_by=("window_start",), order_by={"n": "DESC", "user_id": "ASC"}, n=3))
+    return piped(spark, top).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS best FROM events GROUP BY 1")
+def stream_custom_state(spark, d):
+    """A running count and maximum in state of one's own; the last row per user is the whole."""
+    import pandas as pd
+
+    from ..streaming import state
+
+    def step(key, value, pdf):
+        many, best = value or (0, float("-inf"))
+        value = (many + len(pdf), max(best, float(pdf.value.max())))
+        return value, pd.DataFrame([(key[0], *value)], columns=["user_id", "n", "best"])
+
+    schema = spark.createDataFrame([], "user_id bigint, n bigint, best double").schema
+    rows = settle(state.fold(events(spark, d).select("user_id", "value"), ["user_id"], step, "n bigint, best double", schema), "update")
+    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("best").alias("best"))
