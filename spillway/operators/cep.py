@@ -6,8 +6,8 @@ rows matched so far, FIRST(A.col), LAST(A.col), A.col, COUNT(A.col), SUM, AVG, M
 
 What a condition says of the row and its neighbours alone is evaluated by Catalyst before the match, for all variables
 at once; only conditions that look at earlier matches are evaluated row by row. Matching runs per partition in Python,
-one partition at a time, on its rows in order; patterns whose variables are all decided by the row are matched on a
-string of letters by one compiled regular expression where each row fits a single variable.
+one partition at a time, on its rows in order. Where rows decide all variables, a row is one character, which says what
+variables it fits, and a compiled regular expression finds the matches; only their rows become Python values.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -364,6 +365,79 @@ def unlinked(labels) -> list[tuple[int, str]]:
     return out[::-1]
 
 
+def nullable(node) -> bool:
+    if isinstance(node, Var):
+        return False
+    if isinstance(node, Rep):
+        return node.low == 0 or nullable(node.part)
+    return (all if isinstance(node, Seq) else any)(nullable(p) for p in node.parts)
+
+
+def repeats_repeat(node, within: bool = False) -> bool:
+    """Whether a quantifier stands within another, which can make a regular expression try ways without end."""
+    if isinstance(node, Var):
+        return False
+    if isinstance(node, Rep):
+        return within or repeats_repeat(node.part, True)
+    return any(repeats_repeat(p, within) for p in node.parts)
+
+
+FIRST_LETTER = 0x100
+
+
+def letters_of(node, bits: dict[str, int]) -> str:
+    """The pattern over letters: that of a row is FIRST_LETTER plus the bits of the variables whose conditions it meets."""
+    if isinstance(node, Var):
+        if node.name not in bits:
+            return "."
+        return "[" + "".join(chr(FIRST_LETTER + m) for m in range(1 << len(bits)) if m >> bits[node.name] & 1) + "]"
+    if isinstance(node, Rep):
+        return f"(?:{letters_of(node.part, bits)}){{{node.low},{'' if node.high is None else node.high}}}{'' if node.greedy else '?'}"
+    said = [letters_of(p, bits) for p in node.parts]
+    return "".join(said) if isinstance(node, Seq) else f"(?:{'|'.join(said)})"
+
+
+def plain(value):
+    """A Python value of a cell; what is missing is None."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    return value.item() if hasattr(value, "item") else value
+
+
+class Frame(dict):
+    """Rows of a frame as dictionaries, made when they are asked for."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        super().__init__()
+        self.columns = {c: pdf[c].array for c in pdf.columns}
+        self.size = len(pdf)
+
+    def __missing__(self, k: int) -> dict:
+        self[k] = {c: plain(values[k]) for c, values in self.columns.items()}
+        return self[k]
+
+    def __len__(self) -> int:
+        return self.size
+
+
+def match_letters(pdf: pd.DataFrame, rows: Frame, regex: re.Pattern, bits: dict[str, int], program: tuple, flags: dict[str, str], after: str) -> Iterator[list[tuple[int, str]]]:
+    """What match_rows gives where rows decide all variables: the expression finds a match, the automaton names its rows."""
+    masks = np.zeros(len(pdf), np.int64)
+    for var, bit in bits.items():
+        masks |= pdf[flags[var]].eq(True).to_numpy(bool).astype(np.int64) << bit
+    text = "".join(map(chr, (masks + FIRST_LETTER).tolist()))
+    begin = 0
+    while m := regex.search(text, begin):
+        span = [rows[k] for k in range(m.start(), m.end())]
+        said = [(k + m.start(), var) for k, var in next(match_rows(span, *program, flags, {}, after))]
+        yield said
+        begin = m.start() + 1 if after == "NEXT_ROW" else said[-1][0] + 1
+
+
+#: Variables with conditions that letters are made of at most: a letter stands for a set of them.
+MOST_BITS = 8
+
+
 def match_recognize(df: DataFrame, pattern: str, define: dict[str, str], measures: dict[str, str], partition_by: list[str] | None = None, order_by: dict[str, str] | str | None = None, after: str = "MATCH_RECOGNIZED", types: dict[str, T.DataType] | None = None, dialect: Dialect = Dialect()) -> DataFrame:
     """One row per match: the partition's columns and the measures.
 
@@ -415,13 +489,21 @@ def match_recognize(df: DataFrame, pattern: str, define: dict[str, str], measure
     kept = [c for c in ordered.columns if c in used or c in partition_by or c == "__n" or c in flags.values()]
     programs = {name: e.sql for name, e in said.items()}
 
+    bits = {var: k for k, var in enumerate(flags)}
+    by_letters = not dynamic and len(bits) <= MOST_BITS and not nullable(tree) and not repeats_repeat(tree)
+    pattern_text = letters_of(tree, bits) if by_letters else ""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__n")
-        data = [{c: (None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v) for c, v in zip(pdf.columns, row, strict=True)} for row in pdf.itertuples(index=False, name=None)]
+        data = Frame(pdf)
         works = {var: (e, evaluator(e.sql)) for var, (e, _) in dynamic.items()}
         measure = {name: evaluator(sql) for name, sql in programs.items()}
         result = []
-        for labels in match_rows(data, states, start, flags, works, after):
+        if by_letters:
+            found = match_letters(pdf, data, re.compile(pattern_text, re.DOTALL), bits, (states, start), flags, after)
+        else:
+            found = match_rows(data, states, start, flags, works, after)
+        for labels in found:
             last = data[labels[-1][0]]
             row = {c: data[labels[0][0]][c] for c in partition_by}
             for name, e in said.items():

@@ -49,16 +49,18 @@ def bounded(df: DataFrame, span: Span) -> DataFrame:
 
 def sessions(df: DataFrame, span: Span, keys: list[str]) -> DataFrame:
     """Rows of a batch with the bounds of their session: it goes on while a gap is not exceeded, and ends a gap after
-    its last row. Sessions themselves come from the session aggregation, whose partial merge bounds the shuffle."""
+    its last row. With keys that is one shuffle and a running count of gaps. Without, sessions come from the session
+    aggregation, whose partial merge bounds the shuffle, and rows, which stay where they are, look up theirs."""
     if df.isStreaming:
         raise ValueError("rows of open sessions aren't known on a stream; aggregate them")
-    found = df.groupBy(*keys, span.column().alias("__w")).agg(F.lit(1).alias("__one")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__w.start").alias(START), F.col("__w.end").alias(END))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    inside = (F.col(span.on) >= F.col(START)) & (F.col(span.on) < F.col(END))
-    on = inside
-    for s in same:
-        on = s & on
-    return df.join(found, on).drop(*[f"__{k}" for k in keys])
+    if keys:
+        gap, rows = F.expr(f"INTERVAL '{interval(span.size)}'"), Window.partitionBy(*keys).orderBy(span.on)
+        fresh = F.when(F.lag(span.on).over(rows) + gap >= F.col(span.on), 0).otherwise(1)
+        counted = df.where(F.col(span.on).isNotNull()).withColumn("__fresh", fresh).withColumn("__session", F.sum("__fresh").over(rows.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        whole = Window.partitionBy(*keys, "__session")
+        return counted.withColumn(START, F.min(span.on).over(whole)).withColumn(END, F.max(span.on).over(whole) + gap).drop("__fresh", "__session")
+    found = df.groupBy(span.column().alias("__w")).agg(F.lit(1).alias("__one")).select(F.col("__w.start").alias(START), F.col("__w.end").alias(END))
+    return df.join(found, (F.col(span.on) >= F.col(START)) & (F.col(span.on) < F.col(END)))
 
 
 def aggregate(df: DataFrame, keys: list[str], select: dict[str, str], span: Span | None = None, dialect: Dialect = Dialect()) -> DataFrame:
@@ -109,8 +111,8 @@ def orderable(kind: T.DataType) -> bool:
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: dict[str, str] | str, keep: str = "first") -> DataFrame:
-    """One row per key, the first or last by order. A min or max over structs combines before the shuffle; of rows
-    that tie, all orderable columns decide, so that the result doesn't depend on partitions."""
+    """One row per key, the first or last by order. Spark limits groups before the shuffle, so a hot key sends a row per
+    task; of rows that tie, all orderable columns decide, so that the result doesn't depend on partitions."""
     if keep not in ("first", "last"):
         raise ValueError(f"keep {keep!r}")
     by = ordering(order if keep == "first" else reversed_order(order))
