@@ -149,9 +149,30 @@ class Trees:
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, url_col: str = "url", label_col: str = "label") -> Trees | None:
     """Trees from at most ``rows`` labelled urls (label true: block), those with the least hashed urls; distinct pairs
     only. Rows with a null url or label teach nothing. None where a label is missing altogether."""
+    known = sample(labelled, rows, url_col, label_col)
+    return Trees().fit(known.url.tolist(), known.label.to_numpy()) if known.label.nunique() == 2 else None
+
+
+def sample(labelled: DataFrame, rows: int, url_col: str, label_col: str) -> pd.DataFrame:
+    """url, label of at most ``rows`` distinct pairs, in order of hashed urls."""
     pairs = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("boolean").alias("label")).dropna().distinct()
-    sample = pairs.orderBy(F.xxhash64("url"), "url", "label").limit(rows).toPandas()
-    return Trees().fit(sample.url.tolist(), sample.label.to_numpy()) if sample.label.nunique() == 2 else None
+    return pairs.orderBy(F.xxhash64("url"), "url", "label").limit(rows).toPandas()
+
+
+def held_out_auc(labelled: DataFrame, rows: int = FIT_ROWS, url_col: str = "url", label_col: str = "label", parts: int = 5) -> float | None:
+    """How often the trees put a blocked url above an allowed one, each fifth of the sample scored by trees fitted on the
+    rest; 0.5 is chance. None where a label is missing."""
+    known = sample(labelled, rows, url_col, label_col)
+    y, p = known.label.to_numpy(bool), np.zeros(len(known))
+    if not 0 < y.sum() < len(y):
+        return None
+    part = np.arange(len(y)) % parts
+    for k in range(parts):
+        if 0 < y[part != k].sum() < (part != k).sum():
+            p[part == k] = Trees().fit(known.url[part != k].tolist(), y[part != k]).probability(known.url[part == k].tolist())
+    rank = pd.Series(p).rank().to_numpy()
+    blocked = y.sum()
+    return float((rank[y].sum() - blocked * (blocked + 1) / 2) / (blocked * (len(y) - blocked)))
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], model: Trees | None, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
