@@ -13,8 +13,8 @@ from ..functions import Dialect
 from ..operators import cep, grouping, joins, sql, stateless
 from ..schema import Schema, SchemaError, interval
 from ..sources import external, generated
+from ..streaming import late, state
 from ..streaming import run as streams
-from ..streaming import state
 from . import nodes as n
 
 
@@ -26,6 +26,7 @@ class Rows:
     span: grouping.Span | None = None
     keys: tuple[str, ...] = ()
     schema: Schema | None = None
+    lateness: str | None = None
 
     @property
     def bounded(self) -> bool:
@@ -113,7 +114,7 @@ def _table(c: Compiler, node: n.TableSource, _) -> Rows:
 
 def through(c: Compiler, rows: Rows, df: DataFrame) -> Rows:
     """The rows go on with their window, declared event time and key."""
-    out = Rows(df, rows.span, rows.keys, rows.schema)
+    out = Rows(df, rows.span, rows.keys, rows.schema, rows.lateness)
     if rows.span is not None and not out.bounded and rows.span.on not in df.columns:
         raise n.DefinitionError(f"window column {rows.span.on!r} is gone")
     return out
@@ -186,22 +187,24 @@ def _route_output(c, node, ins):
 
 @lowers(n.TumbleWindow)
 def _tumble(c, node, ins):
-    return Rows(ins[0].df, grouping.Span("tumble", node.on, node.size), schema=ins[0].schema)
+    return Rows(ins[0].df, grouping.Span("tumble", node.on, node.size), schema=ins[0].schema, lateness=node.allowed_lateness)
 
 
 @lowers(n.SlideWindow)
 def _slide(c, node, ins):
-    return Rows(ins[0].df, grouping.Span("slide", node.on, node.size, node.slide), schema=ins[0].schema)
+    return Rows(ins[0].df, grouping.Span("slide", node.on, node.size, node.slide), schema=ins[0].schema, lateness=node.allowed_lateness)
 
 
 @lowers(n.SessionWindow)
 def _session(c, node, ins):
-    return Rows(ins[0].df, grouping.Span("session", node.on, node.gap), node.key, ins[0].schema)
+    return Rows(ins[0].df, grouping.Span("session", node.on, node.gap), node.key, ins[0].schema, node.allowed_lateness)
 
 
 @lowers(n.Aggregate)
 def _aggregate(c, node, ins):
     keys = list(node.group_by)
+    if ins[0].lateness and ins[0].df.isStreaming:
+        return Rows(late.late_aggregate(ins[0].df, keys, ins[0].span, node.select, ins[0].lateness, c.dialect))
     if ins[0].span is not None and ins[0].bounded:
         keys += [k for k in (grouping.START, grouping.END) if k not in keys]
         return Rows(grouping.aggregate(ins[0].df, keys, node.select, None, c.dialect))

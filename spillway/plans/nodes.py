@@ -303,7 +303,10 @@ class Limit(Node):
 
 @dataclass(frozen=True, eq=False, kw_only=True)
 class WindowNode(Node):
+    """``allowed_lateness``: on a stream, aggregates of the window are a changelog with a column op, see streaming.late."""
+
     on: str
+    allowed_lateness: str | None = None
     kind: ClassVar[str] = "window"
 
 
