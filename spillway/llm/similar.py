@@ -270,23 +270,23 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
         return first.unionByName(second)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Exact links of a block between components that no earlier link of it connects."""
-        root: dict = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
+        """Exact links of a block between components that no earlier link of it connects: for each that asks those told
+        that are alike by sketch, all at once, and of these only such as are still apart."""
         out = []
-        sets = {key: np.asarray(s).view(np.uint64) for key, s in zip(pdf.key, pdf.shingles, strict=True)}
-        marks = {key: np.frombuffer(m, np.uint8) for key, m in zip(pdf.key, pdf.marks, strict=True)}
-        tell = pdf[~pdf.asks]
-        for key, own in pdf[pdf.asks][["key", "component"]].itertuples(index=False):
-            for other, theirs in tell[["key", "component"]].itertuples(index=False):
-                if find(own) != find(theirs) and (marks[key] == marks[other]).sum() >= least_equal and similar(sets[key], sets[other], percent):
-                    out.append((min(key, other), max(key, other)))
-                    root[find(own)] = find(theirs)
+        marks = np.frombuffer(b"".join(pdf.marks), np.uint8).reshape(len(pdf), -1)
+        key, asks = pdf.key.to_numpy(), pdf.asks.to_numpy(bool)
+        sets = [np.asarray(s).view(np.uint64) for s in pdf.shingles]
+        _, group = np.unique(pdf.component.to_numpy(), return_inverse=True)
+        tell = np.flatnonzero(~asks)
+        for k in np.flatnonzero(asks):
+            near = tell[(marks[tell] == marks[k]).sum(axis=1) >= least_equal]
+            near = near[group[near] != group[k]]
+            while len(near):
+                other, near = near[0], near[1:]
+                if similar(sets[k], sets[other], percent):
+                    out.append((min(key[k], key[other]), max(key[k], key[other])))
+                    group[group == group[other]] = group[k]
+                    near = near[group[near] != group[k]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     needed = crowded.select("key").distinct()
