@@ -362,9 +362,9 @@ def held(scratch: Scratch, settled: DataFrame, rows: DataFrame) -> DataFrame:
     """Pieces that several documents have: settled ones, and rows HELD whose h1, h2 more than one document has. who, tag,
     w, upto (words), start, end (code points), first (the least who that has it)."""
     known = rows.groupBy("h1", "h2").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("h1", "h2", "first")
+    # about as many as a tenth of the rows, whatever the corpus: not a side to broadcast
     known = scratch.save(known, "held")
-    few = known.count() * 32 <= BROADCAST_BYTES
-    return settled.unionByName(rows.join(F.broadcast(known) if few else known, ["h1", "h2"]).select(*PIECE))
+    return settled.unionByName(rows.join(known, ["h1", "h2"]).select(*PIECE))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, bands: Bands, shingle: int, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
