@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,9 +28,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a local one that is set then."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark runs in one process,
+    as in tests, a local one that is set then; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="spillway-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
