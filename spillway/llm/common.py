@@ -115,6 +115,17 @@ def pick(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in more))
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with marks added until docs has no such column: for what is joined to docs."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 #: Rows to drop are broadcast up to this size, so that the texts that stay aren't shuffled; beyond, a shuffled anti-join.
 #: A row of an id and a digest takes so much memory in a broadcast.
 ANTI_BYTES, ANTI_ROW = 32 << 20, 128

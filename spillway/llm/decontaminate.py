@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick, without
+from .common import ascii_lower, free, pick, without
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -114,17 +114,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mo
     removed span keep their separators.
     """
     i, t = F.col(id_col), F.col(text_col)
+    key, digest, spans = free(docs, "__id", "__digest", "__spans")
     if mode == "documents":
         judged = contamination(spark, docs, benchmark, window, id_col, text_col).where("contaminated")
-        bad = judged.select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest")).distinct()
-        return without(spark, docs, bad, lambda: i.eqNullSafe(F.col("__id")) & (F.xxhash64(t) == F.col("__digest")))
+        bad = judged.select(F.col("doc_id").alias(key), F.col("text_digest").alias(digest)).distinct()
+        return without(spark, docs, bad, lambda: i.eqNullSafe(F.col(key)) & (F.xxhash64(t) == F.col(digest)))
     keyed = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("w"))
     hits = hits_of(keyed, windows_of(benchmark, window=window))
-    per_doc = hits.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "upto")).alias("__spans")).withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
-    with_spans = docs.join(per_doc, i.eqNullSafe(F.col("__id")) & (F.xxhash64(t) == F.col("__digest")), "left")
+    per_doc = hits.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "upto")).alias(spans)).withColumnsRenamed({"doc_id": key, "digest": digest})
+    with_spans = docs.join(per_doc, i.eqNullSafe(F.col(key)) & (F.xxhash64(t) == F.col(digest)), "left")
     pieces = F.regexp_extract_all(t, F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
     clean = F.array_join(
-        F.transform(pieces, lambda p, k: F.when(F.exists("__spans", lambda s: (s["from"] <= k) & (k < s["upto"])), F.regexp_replace(p, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(p)),
+        F.transform(pieces, lambda p, k: F.when(F.exists(spans, lambda s: (s["from"] <= k) & (k < s["upto"])), F.regexp_replace(p, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")).otherwise(p)),
         "",
     )
-    return with_spans.select(*[F.when(F.col("__spans").isNull(), t).otherwise(clean).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    return with_spans.select(*[F.when(F.col(spans).isNull(), t).otherwise(clean).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ANTI_BYTES, Scratch, pick, without
+from .common import ANTI_BYTES, Scratch, free, pick, without
 
 #: The store keeps state on the executors' disks; all stores of an executor share this much memory.
 STORE = {
@@ -120,15 +120,16 @@ def exact_groups(spark: SparkSession, docs: DataFrame, digest=sha256, id_col: st
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, that of the largest doc_id; of repeats of that id one, and any one where all are null."""
-    groups = exact_groups(spark, docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept")
+    key, digest = free(docs, "__id", "__sha")
+    groups = exact_groups(spark, docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(key), F.unhex("text_sha256").alias(digest), "kept")
     groups = Scratch(spark, "exact-drop").save(groups, "groups")
     i, sha = F.col(id_col).cast("bigint"), sha256(F.col(text_col))
-    left = without(spark, docs, groups.where("not kept").select("__id", "__sha").distinct(), lambda: i.eqNullSafe(F.col("__id")) & (sha == F.col("__sha")))
+    same = lambda: i.eqNullSafe(F.col(key)) & (sha == F.col(digest))
+    left = without(spark, docs, groups.where("not kept").select(key, digest).distinct(), same)
     # rows that repeat id and text: in a table with unique ids there are none, and texts aren't shuffled
-    twice = groups.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("n")).where("n > 1").select("__id", "__sha")
+    twice = groups.where("kept").groupBy(key, digest).agg(F.count("*").alias("n")).where("n > 1").select(key, digest)
     if twice.isEmpty():
         return left
-    same = i.eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    again = left.join(twice, same, "left_semi")
-    unique = again.groupBy(i.alias("__id"), sha.alias("__sha")).agg(F.first(F.struct(*again.columns)).alias("__row")).select("__row.*")
-    return left.join(twice, same, "left_anti").unionByName(unique)
+    again = left.join(twice, same(), "left_semi")
+    unique = again.groupBy(i.alias(key), sha.alias(digest)).agg(F.first(F.struct(*again.columns)).alias("__row")).select("__row.*")
+    return left.join(twice, same(), "left_anti").unionByName(unique)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, without
+from .common import Scratch, free, pick, without
 from .similar import BROADCAST_BYTES, PAIRS_PER_MEMBER, Bands, connect, near_links, set_digest, shingle_batches, sketched, split_words
 
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5 in a million.
@@ -79,5 +79,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, bands: Bands = BA
     Rows with a null doc_id stay.
     """
     rows = grouped(spark, docs, bands, shingle, percent, id_col, text_col, crowd, False)
-    gone = rows.where("key <> name").select(F.col("key").alias("__gone"), F.col("tag").alias("__tag")).distinct()
-    return without(spark, docs, gone, lambda: (F.col(id_col).cast("bigint") == F.col("__gone")) & (F.xxhash64(F.col(text_col)) == F.col("__tag")))
+    key, tag = free(docs, "__gone", "__tag")
+    gone = rows.where("key <> name").select(F.col("key").alias(key), F.col("tag").alias(tag)).distinct()
+    return without(spark, docs, gone, lambda: (F.col(id_col).cast("bigint") == F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(tag)))

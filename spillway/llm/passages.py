@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, gram_hashes, mix, pick, word_hashes
+from .common import Scratch, Vocabulary, blocks, free, gram_hashes, mix, pick, word_hashes
 from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, shingle_sets, sketch_columns, split_words
 
 #: Tuned for recall: a pair at 0.75 shares a band with probability 1 - (1 - 0.75**3)**20, all but 2 in a hundred thousand.
@@ -206,7 +206,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """docs with removed paragraphs (lines; not runs) taken out of their texts, line feeds included; other columns and
     rows stay."""
     found = repeated_passages(spark, docs, id_col=id_col, text_col=text_col, **options).where("removed")
-    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("par").alias("__pars"))
-    joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__id"), "left")
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__pars", i), F.lit(False)))
-    return joined.select(*[F.when(F.col("__pars").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    key, pars = free(docs, "__id", "__pars")
+    gone = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("par").alias(pars))
+    joined = docs.join(gone, F.col(id_col).cast("bigint") == F.col(key), "left")
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(pars, i), F.lit(False)))
+    return joined.select(*[F.when(F.col(pars).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

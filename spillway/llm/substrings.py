@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, mix
+from .common import Scratch, blocks, free, mix
 from .passages import BANDS, PERCENT, SHINGLE
 from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, set_digest, sketch_arrays, sorted_groups
 
@@ -412,10 +412,11 @@ def remove_shared(spark: SparkSession, docs: DataFrame, bands: Bands = BANDS, sh
     """docs with the words of runs that an earlier document keeps taken out of their texts, white space between them
     included; other columns and rows stay, whatever their names."""
     gone = merged(pieces(spark, docs, bands, shingle, percent, least, id_col, text_col).where("first < who"), least)
-    cuts = gone.groupBy(F.col("who").alias("__who"), F.col("tag").alias("__tag")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    key, tag, spans = free(docs, "__who", "__tag", "__cuts")
+    cuts = gone.groupBy(F.col("who").alias(key), F.col("tag").alias(tag)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
     text = F.col(text_col)
-    joined = docs.join(cuts, (who_of(F.col(id_col).cast("bigint"), text) == F.col("__who")) & (F.xxhash64(text) == F.col("__tag")), "left")
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.col("__cuts.end"))
-    ends = F.concat(F.col("__cuts.start"), F.array(F.length(text).cast("bigint")))
+    joined = docs.join(cuts, (who_of(F.col(id_col).cast("bigint"), text) == F.col(key)) & (F.xxhash64(text) == F.col(tag)), "left")
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.col(spans)["end"])
+    ends = F.concat(F.col(spans)["start"], F.array(F.length(text).cast("bigint")))
     rest = F.array_join(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda p: F.substring(text, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))), "")
-    return joined.select(*[F.when(F.col("__cuts").isNull(), text).otherwise(rest).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    return joined.select(*[F.when(F.col(spans).isNull(), text).otherwise(rest).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
