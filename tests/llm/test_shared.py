@@ -97,6 +97,7 @@ def test_verbatim_stretches_are_those_of_brute_force(spark, rows):
 def test_passages_are_those_of_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(substrings, "WIDE_BYTES", 0)
     rows = edited_passages(3)
     want = islands(rows, windows(rows) + chains(rows))
     assert sum(w[3] for w in want) > sum(w[3] for w in islands(rows, windows(rows)))  # paragraphs find more
