@@ -102,17 +102,6 @@ def per_batch(c: Compiler, node: n.Node, mode: str = "append") -> tuple[DataFram
     return c.frame(path[-1].inputs[0]), apply
 
 
-class Kept:
-    """A table in memory that micro-batches add to; a batch that comes again replaces what it added before."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.rows = spark, name, {}
-
-    def __call__(self, df: DataFrame, batch: int) -> None:
-        self.rows[batch] = df.collect()
-        self.spark.createDataFrame([r for rows in self.rows.values() for r in rows], df.schema).createOrReplaceTempView(self.name)
-
-
 def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None = None, every: str | None = None) -> list[Callable[[], StreamingQuery]]:
     """What starts each query of a pipeline. Each has its own folder below the checkpoint's location, and resumes from it."""
     require_valid(pipeline)
@@ -123,8 +112,8 @@ def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None =
     out: list[Callable[[], StreamingQuery]] = []
     routed: set[int] = set()
 
-    def start(df: DataFrame, sink, key: str, name: str) -> None:
-        location = f"{ckpt.location}/{key}" if ckpt and ckpt.location else None
+    def start(df: DataFrame, sink, key: str, name: str, other: str | None = None) -> None:
+        location = f"{ckpt.location}/{key}" if ckpt and ckpt.location else other
         out.append(lambda: streams.start(df, sink, location, pipeline.output_mode, every, name=name))
 
     for route, sinks in routed_sinks(pipeline).values():
@@ -142,8 +131,8 @@ def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None =
         if not isinstance(sink, n.MemorySink):
             start(df, lambda rows, batch, s=sink, k=name, f=apply: write_batch(s, f(rows), k, c.defaults, batch), name, f"{pipeline.name}_{name}")
         elif any(isinstance(x, (n.LookupJoin, n.TopN)) for x in n.walk([sink])):
-            kept = Kept(spark, name)
-            start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}")
+            kept = streams.Kept(spark, name, pipeline.output_mode == "complete")
+            start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}", kept.checkpoint)
         else:
             start(df, None, name, name)
     return out

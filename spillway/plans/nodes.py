@@ -136,7 +136,7 @@ class ConsoleSink(Sink):
 
 @dataclass(frozen=True, eq=False, kw_only=True)
 class MemorySink(Sink):
-    """A table in memory, named after the sink."""
+    """A view of the session, named after the sink; on streams over files in the shared folder, as large as may be."""
 
 
 @dataclass(frozen=True, eq=False, kw_only=True)

@@ -8,10 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.sql import run as run_sql
 from ..schema import duration_ms, interval
+from ..storage import new_root, remove
 
 MODES = ("append", "update", "complete")
 
@@ -85,6 +88,32 @@ def start(df: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, c
     return writer.format(form or "memory").options(**(options or {})).start()
 
 
+class Kept:
+    """For ``start``: a table that micro-batches add to, in files of the shared folder; no row comes to the driver. A
+    batch that comes again replaces what it added before. ``whole``: each batch is the whole result, as in complete mode;
+    the one before it stays for those who still read it. With the schema the table is there, empty, before any batch."""
+
+    def __init__(self, spark: SparkSession, name: str, whole: bool = False, schema: T.StructType | None = None):
+        self.spark, self.name, self.whole, self.batches = spark, name, whole, []
+        root = new_root(spark, "stream")
+        self.rows, self.checkpoint = f"{root}/rows", f"{root}/checkpoint"
+        if schema is not None:
+            spark.createDataFrame([], schema).createOrReplaceTempView(name)
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        # files have neither repeated names nor columns without a type
+        void = [isinstance(f.dataType, T.NullType) for f in df.schema]
+        plain = df.toDF(*(f"c{k}" for k in range(len(void))))
+        plain = plain.select(*[F.col(c).cast("string") if v else F.col(c) for c, v in zip(plain.columns, void, strict=True)])
+        plain.write.mode("overwrite").parquet(f"{self.rows}/{batch}")
+        self.batches = [*(b for b in self.batches if b != batch), batch]
+        read = self.spark.read.schema(plain.schema).option("recursiveFileLookup", "true").parquet(f"{self.rows}/{batch}" if self.whole else self.rows)
+        read = read.select(*[F.lit(None).alias(c) if v else F.col(c) for c, v in zip(read.columns, void, strict=True)])
+        read.toDF(*df.columns).createOrReplaceTempView(self.name)
+        while self.whole and len(self.batches) > 2:
+            remove(self.spark, f"{self.rows}/{self.batches.pop(0)}")
+
+
 def collect(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """All that a finite stream gives, as a table in memory: for tests."""
     query = start(df, name=name, mode=mode, checkpoint=checkpoint)

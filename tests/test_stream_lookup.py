@@ -102,3 +102,24 @@ def test_restarts_and_settings_of_a_pipeline(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_what_a_memory_sink_gets_lies_in_files(spark, tmp_path):
+    place = Place(spark, tmp_path, "in_files", cache_ttl="1 hour")
+    place.add((1, "a"), (2, "b"))
+    sp.run_streams(spark, place.pipeline, every="available-now")
+    assert place.rows(2) == [(1, "old"), (2, None)]
+    # rows that came to the driver have no files
+    files, shared = spark.table("in_files").inputFiles(), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert files and all(f.removeprefix("file://").startswith(shared) for f in files)
+
+
+def test_a_table_of_micro_batches(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, "x", None) for i in ids], "id bigint, ID string, nothing void")
+    more, whole = run.Kept(spark, "more_and_more"), run.Kept(spark, "whole_each_time", whole=True)
+    for batch, ids in ((0, (1, 2)), (1, (3,)), (1, (4, 5)), (2, ()), (3, (6,))):
+        more(rows(*ids), batch)
+        whole(rows(*ids), batch)
+    for name, want in (("more_and_more", [1, 2, 4, 5, 6]), ("whole_each_time", [6])):
+        assert spark.table(name).columns == ["id", "ID", "nothing"] and spark.table(name).dtypes[2][1] == "void"
+        assert sorted(map(tuple, spark.table(name).collect())) == [(i, "x", None) for i in want]
