@@ -130,11 +130,11 @@ def starters(spark: SparkSession, pipeline: n.Pipeline, defaults: dict | None =
         (df, apply), name = per_batch(c, sink, pipeline.output_mode), c.names[id(sink)]
         if not isinstance(sink, n.MemorySink):
             start(df, lambda rows, batch, s=sink, k=name, f=apply: write_batch(s, f(rows), k, c.defaults, batch), name, f"{pipeline.name}_{name}")
-        elif any(isinstance(x, (n.LookupJoin, n.TopN)) for x in n.walk([sink])):
-            kept = streams.Kept(spark, name, pipeline.output_mode == "complete")
-            start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}", kept.checkpoint)
         else:
-            start(df, None, name, name)
+            # a lookup or a top-n is known once there are rows
+            known = None if any(isinstance(x, (n.LookupJoin, n.TopN)) for x in n.walk([sink])) else df.schema
+            kept = streams.Kept(spark, name, pipeline.output_mode == "complete", known)
+            start(df, lambda rows, batch, k=kept, f=apply: k(f(rows), batch), name, f"{pipeline.name}_{name}", kept.checkpoint)
     return out
 
 

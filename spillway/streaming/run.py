@@ -115,9 +115,12 @@ class Kept:
 
 
 def collect(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that a finite stream gives, as a table in memory: for tests."""
-    query = start(df, name=name, mode=mode, checkpoint=checkpoint)
+    """All that a finite stream gives, as a table in files of the shared folder."""
+    kept = Kept(df.sparkSession, name, mode == "complete", df.schema)
+    query = start(df, kept, checkpoint or kept.checkpoint, mode, name=name)
     query.awaitTermination()
+    # nothing resumes from here
+    remove(df.sparkSession, kept.checkpoint)
     return df.sparkSession.table(name)
 
 

@@ -26,7 +26,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settle(df: DataFrame, mode: str) -> DataFrame:
-    """The finite stream's whole output; each query has a table in memory of its own."""
+    """The finite stream's whole output; each query has a table of its own."""
     return streaming.collect(df, f"stream_{uuid.uuid4().hex[:12]}", mode)
 
 

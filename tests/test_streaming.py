@@ -112,6 +112,17 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, count(spark.read.parquet(feed.path)).collect()))
 
 
+def test_a_collected_stream_lies_in_files(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", COLUMNS)
+    feed.add([("a", at("10:00"), 1.0), ("b", at("10:01"), 2.0)])
+    out = run.collect(feed.stream().select("k", "v"), f"t{uuid.uuid4().hex}")
+    assert sorted(map(tuple, out.collect())) == [("a", 1.0), ("b", 2.0)]
+    # rows that came to the driver have no files
+    assert out.inputFiles()
+    none = run.collect(feed.stream().where("v > 5").groupBy("k").count(), f"t{uuid.uuid4().hex}", "complete")
+    assert none.columns == ["k", "count"] and none.count() == 0
+
+
 def test_micro_batch_sql_and_route(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", COLUMNS)
     feed.add([("a", at("10:00"), 1.0), ("a", at("10:01"), 2.0), ("b", at("10:00"), 30.0)])
