@@ -13,6 +13,7 @@ from ..plans.execute import start_streams
 from ..schema import Field, Schema, Watermark
 from ..sources import external
 from ..streaming import run as streaming
+from ..streaming import state
 from .base import query
 
 EVENTS = Schema(
@@ -45,6 +46,7 @@ def stream_tumble(spark, d):
 @query("""SELECT user_id, min(ts) AS window_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def stream_session(spark, d):
+    state.use_rocksdb(spark)
     counts = grouping.aggregate(events(spark, d), ["user_id"], {"n": "COUNT(*)"}, grouping.Span("session", "ts", "6 hours"))
     return settle(counts, "complete").select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 

@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from spillway import suites
 from spillway.operators import grouping as g
 from spillway.operators import joins as j
 from spillway.schema import Field, Schema, Watermark
@@ -123,6 +124,20 @@ def test_a_collected_stream_lies_in_files(spark, tmp_path):
     assert none.columns == ["k", "count"] and none.count() == 0
 
 
+def test_sessions_that_batches_join_are_whole_and_lie_in_files(spark, tmp_path, sf_dir):
+    feed = Feed(spark, tmp_path / "in", COLUMNS)
+    for minutes in ((0, 20, 9), (4, 40)):
+        feed.add([(k, at(f"10:{m:02}"), 1.0) for k in "ab" for m in minutes])
+    one_by_one = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(feed.path)
+    counts = g.aggregate(one_by_one, ["k"], {"n": "count(*)"}, g.Span("session", "ts", "6 minutes"))
+    out = run.collect(counts, f"t{uuid.uuid4().hex}", "complete")
+    starts = [(at("10:00"), 3), (at("10:20"), 1), (at("10:40"), 1)]
+    assert sorted((r["k"], r["window_start"], r["n"]) for r in out.collect()) == [(k, *s) for k in "ab" for s in starts]
+    # rows that came to the driver have no files, and state in memory has another store
+    assert suites.QUERIES["stream_session"](spark, sf_dir).inputFiles()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == state.ROCKSDB
+
+
 def test_micro_batch_sql_and_route(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", COLUMNS)
     feed.add([("a", at("10:00"), 1.0), ("a", at("10:01"), 2.0), ("b", at("10:00"), 30.0)])
