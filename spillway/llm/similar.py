@@ -47,27 +47,32 @@ class Bands:
 
 def sketch(shingles: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
     """One row of t coordinates (uint64) for each set shingles[offsets[k]:offsets[k + 1]]; no set may be empty."""
-    n = len(offsets) - 1
-    out = np.full((n, t), np.iinfo(np.uint64).max, np.uint64)
-    active = np.arange(n)
+    n, free = len(offsets) - 1, np.iinfo(np.uint64).max
+    out = np.full(n * t, free, np.uint64)
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(n), sizes)
+    shingles, base = shingles[offsets[0] : offsets[-1]], row * t
     for i in range(2 * t):
-        if not len(active):
+        if not len(base):
             break
-        sizes = offsets[active + 1] - offsets[active]
-        row = np.repeat(np.arange(len(active)), sizes)
-        first = np.repeat(offsets[active] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        h = shingles[np.arange(len(row)) + first]
         with np.errstate(over="ignore"):
-            h = mix(h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        value = (np.uint64(i) << np.uint64(48)) | (h >> np.uint64(16))
-        part = out[active]
-        if i < t:
-            np.minimum.at(part.reshape(-1), row * t + (h & np.uint64(0xFFFF)).astype(np.int64) % t, value)
+            h = mix(shingles + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF))
+        at = base + (h & np.uint64(0xFFFF)).astype(np.int64) % t if i < t else base + (i - t)
+        if i:
+            # a bin that an earlier round filled keeps its value, which is less
+            new = np.flatnonzero(out[at] == free)
+            at, h = at[new], h[new]
+        np.minimum.at(out, at, (np.uint64(i) << np.uint64(48)) | (h >> np.uint64(16)))
+        if i:
+            at = np.sort(at)
+            filled = at[np.concatenate((at[:1] == at[:1], at[1:] != at[:-1]))]
+            left -= np.bincount(filled // t, minlength=n)
         else:
-            np.minimum.at(part[:, i - t], row, value)
-        out[active] = part
-        active = active[(part == np.iinfo(np.uint64).max).any(axis=1)]
-    return out
+            left = (out.reshape(n, t) == free).sum(axis=1)
+        going = left[row] > 0
+        if not going.all():
+            shingles, base, row = shingles[going], base[going], row[going]
+    return out.reshape(n, t)
 
 
 def band_keys(sketches: np.ndarray, bands: Bands) -> np.ndarray:
