@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, free, pick, without
-from .similar import BROADCAST_BYTES, PAIRS_PER_MEMBER, Bands, connect, near_links, set_digest, shingle_batches, sketched, split_words
+from .similar import BLOCK_BYTES, BROADCAST_BYTES, PAIRS_PER_MEMBER, Bands, connect, near_links, set_digest, shingle_batches, sketched, split_words
 
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.75**4)**32, all but 5 in a million.
 BANDS = Bands(32, 4)
 SHINGLE, PERCENT = 5, 75
 
 
-def class_sets(texts: DataFrame, wanted: DataFrame, n: int, few: bool, limit: int = 8 << 20) -> DataFrame:
+def class_sets(texts: DataFrame, wanted: DataFrame, n: int, few: bool, limit: int = BLOCK_BYTES) -> DataFrame:
     """key (the class) and shingles of wanted classes (class, digest, key of a document that holds the set). Other
     texts under that document's key have other digests and fall away."""
     rows = texts.join(F.broadcast(wanted) if few else wanted, "key").select(F.struct("class", "digest").alias("class"), "text")
