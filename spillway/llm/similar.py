@@ -127,9 +127,9 @@ SKETCH_TYPES = {"n_shingles": pa.int64(), "digest": pa.binary(), "keys": pa.list
 SKETCH = "n_shingles bigint, digest binary, keys array<bigint>, marks binary"
 
 
-def sketch_arrays(flat: np.ndarray, offsets: np.ndarray, bands: Bands, at_once: int = 512) -> list[pa.Array]:
+def sketch_arrays(flat: np.ndarray, offsets: np.ndarray, bands: Bands, at_once: int = 512, digests: list[bytes] | None = None) -> list[pa.Array]:
     """n_shingles, digest, keys (one per band) and marks (one byte per coordinate) of sets flat[offsets[k]:offsets[k + 1]],
-    none of them empty."""
+    none of them empty. Digests that are known needn't be taken again."""
     n = len(offsets) - 1
     keys, marks = np.empty((n, bands.bands), np.int64), np.empty((n, bands.size), np.uint8)
     for start in range(0, n, at_once):
@@ -138,7 +138,8 @@ def sketch_arrays(flat: np.ndarray, offsets: np.ndarray, bands: Bands, at_once:
         coordinates = sketch(flat[cut[0] : cut[-1]], cut - cut[0], bands.size)
         keys[part] = band_keys(coordinates, bands).view(np.int64)
         marks[part] = (mix(coordinates) & np.uint64(0xFF)).astype(np.uint8)
-    digests = [set_digest(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    if digests is None:
+        digests = [set_digest(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     ends = lambda size: pa.py_buffer((np.arange(n + 1) * size).astype(np.int32))
     return [
         pa.array(np.diff(offsets), pa.int64()),

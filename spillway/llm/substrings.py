@@ -39,7 +39,9 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: A number for each byte, the same for letters in either case; bytes whose sums are held at once.
 BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(MULTIPLIERS[1]))
 BYTES[65:91] = BYTES[97:123]
-SEGMENT = 1 << 20
+SEGMENT = 1 << 16
+#: Powers that are kept; and digests of paragraphs that a task remembers, some 100 bytes each.
+POWERS, KNOWN = 1 << 20, 1 << 17
 #: Of a shingle's hash: two of a thousand shingles are equal by chance once in 35 million paragraphs.
 SHINGLE_BITS = 44
 
@@ -89,10 +91,10 @@ class Rolling:
 
     @classmethod
     def powers(cls, multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of the number and of its inverse; those of a segment are kept."""
-        if n > SEGMENT or multiplier not in cls.known:
-            made = tuple(np.cumprod(np.full(max(n, SEGMENT), m, np.uint64)) for m in (multiplier, pow(multiplier, -1, 1 << 64)))
-            if n > SEGMENT:
+        """Powers of the number and of its inverse; as many as POWERS are kept."""
+        if n > POWERS or multiplier not in cls.known:
+            made = tuple(np.cumprod(np.full(max(n, POWERS), m, np.uint64)) for m in (multiplier, pow(multiplier, -1, 1 << 64)))
+            if n > POWERS:
                 return made
             cls.known[multiplier] = made
         return cls.known[multiplier]
@@ -192,15 +194,35 @@ def paragraphs(texts: DataFrame, n: int, limit: int = 2 << 20) -> DataFrame:
     return texts.mapInArrow(run, f"{PLACE}, digest binary")
 
 
-def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20) -> DataFrame:
+def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20, known: int = KNOWN) -> DataFrame:
     """who, tag, number and sketch columns of all paragraphs. They are cut again, so that sketches of copies, which are
-    most of a paragraph's bytes, are never written."""
+    most of a paragraph's bytes, are never written. A set that a task has sketched comes again with its digest only:
+    keys and marks are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for keys, said in blocks(batches, limit, 2):
             cut = Paragraphs(Words(said), n)
-            if len(cut.first):
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in owners(keys, cut.text)), pa.array(cut.number.astype(np.int32)), *sketch_arrays(cut.flat, cut.offsets, bands, 4096)], ["who", "tag", "number", *SKETCH_TYPES])
+            digests = [set_digest(cut.set(k)) for k in range(len(cut.first))]
+            fresh = np.zeros(len(digests), bool)
+            for k, digest in enumerate(digests):
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh[k] = True
+            if len(seen) > known:
+                seen.clear()
+            sizes = np.diff(cut.offsets)
+            for new in (True, False):
+                these = np.flatnonzero(fresh == new)
+                if not len(these):
+                    continue
+                said_once = [digests[k] for k in these]
+                if new:
+                    offsets = np.concatenate(([0], np.cumsum(sizes[these])))
+                    columns = sketch_arrays(cut.flat[np.repeat(fresh, sizes)], offsets, bands, 1 << 14, said_once)
+                else:
+                    columns = [pa.array(sizes[these], pa.int64()), pa.array(said_once, pa.binary()), *(pa.nulls(len(these), SKETCH_TYPES[c]) for c in ("keys", "marks"))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in owners(keys, cut.text[these])), pa.array(cut.number[these].astype(np.int32)), *columns], ["who", "tag", "number", *SKETCH_TYPES])
 
     return texts.mapInArrow(run, f"who bigint, tag bigint, number int, {SKETCH}")
 
@@ -259,7 +281,7 @@ def alike(scratch: Scratch, texts: DataFrame, bands: Bands, shingle: int, percen
     """Chains (rows HELD) of paragraphs whose components several documents have."""
     table = scratch.save(paragraphs(texts, shingle), "paragraphs")
     place = F.min(F.struct("who", "tag", "number")).alias("place")
-    classes = sketches(texts, bands, shingle).groupBy("digest").agg(place, F.max("who").alias("last"), *[F.first(c).alias(c) for c in ("n_shingles", "keys", "marks")])
+    classes = sketches(texts, bands, shingle).groupBy("digest").agg(place, F.max("who").alias("last"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n_shingles", "keys", "marks")])
     # ids are fixed by writing them
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("key"), "*"), "classes")
 
