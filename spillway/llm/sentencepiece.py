@@ -3,8 +3,10 @@
 The protobuf is parsed here; from it come the normaliser (its compiled character map, dummy prefix, white space rules),
 the metaspace marker, the unigram scores or, for merge-ranked models, the merges, and byte fallback. Where no piece
 holds the marker after another character, a text may be cut before every marker that follows one without any change of
-the result; then each distinct pre-token of a block is encoded once, in multithreaded batches. Parity with the reference
-implementation is verified on the first pre-tokens of each block, and tests do it on whole texts.
+the result. Merges only ever make pieces, so a merge-ranked model with byte fallback may be cut between any two characters
+that no piece holds side by side; it is cut there beside punctuation and white space. Each distinct pre-token is encoded
+once, in multithreaded batches, and kept while it is in use. Parity with the reference implementation is verified on every
+pre-token when it is first met, and tests do it on whole texts.
 """
 
 from __future__ import annotations
@@ -161,10 +163,42 @@ def cuttable(model: Model) -> bool:
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-#: Pre-tokens whose ids a Python worker keeps between blocks; beyond, it starts anew. Results don't depend on it.
+#: Pre-tokens whose ids a Python worker keeps between blocks; beyond, those that were met again stay, half of it at most.
+#: Results don't depend on it.
 MEMO = 200_000
 
 
+class Borders:
+    """Where a text may be cut: between characters that no piece holds side by side, letters and digits aside.
+    ``apart`` is a character that may be cut off on either side."""
+
+    def __init__(self, model: Model):
+        pieces = [p.text for p in model.pieces if p.kind in (NORMAL, USER_DEFINED, UNUSED)]
+        held = sorted({c for p in pieces if len(p) > 1 for c in p} | {MARK})
+        # kinds of characters: each that a longer piece holds is one, all other letters, and the rest
+        self.kinds = np.ones(0x110000, np.uint16)
+        self.kinds[:128] = [chr(c).isalnum() for c in range(128)]
+        word = np.array([False, True, *(c.isascii() and c.isalnum() or not c.isascii() and c != MARK for c in held)])
+        for k, c in enumerate(held):
+            self.kinds[ord(c)] = k + 2
+        self.joined = word[:, None] & word[None, :]
+        for a, b in {pair for p in pieces for pair in zip(p, p[1:])}:
+            self.joined[self.kinds[ord(a)], self.kinds[ord(b)]] = True
+        self.apart = next((chr(c) for c in range(1, 128) if not self.kinds[c] and not chr(c) == " "), None)
+
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of all texts, and the number of the first one of each text, with their count at the end."""
+        said = "".join(texts)
+        kinds = self.kinds[np.frombuffer(said.encode("utf-32-le"), np.uint32)]
+        begins = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        first = np.ones(len(kinds) + 1, bool)
+        first[1:-1] = ~self.joined[kinds[:-1], kinds[1:]]
+        first[begins] = True
+        at = np.flatnonzero(first)
+        ends = at.tolist()
+        return [said[a:b] for a, b in zip(ends, ends[1:])], np.searchsorted(at, begins)
+
+
 class Codec:
     """Encodes blocks of texts and decodes ids; made once per worker from the model's bytes."""
 
@@ -187,6 +221,8 @@ class Codec:
         self.part = build_tokenizer(model, whole=False)
         self.cut = cuttable(model)
         self.plain = not model.charsmap and not model.strip_spaces and model.escape_spaces and model.dummy_prefix
+        borders = Borders(model) if self.plain and model.kind == BPE and model.byte_fallback else None
+        self.borders = borders if borders and borders.apart else None
         self.bytes = {k: int(p.text[3:5], 16) for k, p in enumerate(model.pieces) if p.kind == BYTE}
         self.texts = ["" if p.kind == CONTROL else " ⁇ " if p.kind == UNKNOWN else p.text.replace(MARK, " ") if model.escape_spaces else p.text for p in model.pieces]
         self.forget()
@@ -197,36 +233,60 @@ class Codec:
         """The tokenizer with its normaliser, which models without rules of their own don't need."""
         return build_tokenizer(self.model)
 
+    def pre_tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of texts as the model sees them, and the number of each text's first one, with their count at the end."""
+        if self.borders and self.cut:
+            return self.borders.cut(texts)
+        parts = [PRE_TOKEN.findall(t) if self.cut else [t] if t else [] for t in texts]
+        return list(chain.from_iterable(parts)), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+
     def encode_block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[bool]]:
         """Ids of each text, the pre-tokens not met before, and whether each text's ids give back the text as normalised."""
         if self.plain:
             seen = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         else:
             seen = [normalise(self.model, self.whole, t) if t else "" for t in texts]
-        if len(self.memo.index) > MEMO:
-            self.forget()
-        parts = [self.memo.ids(PRE_TOKEN.findall(s) if self.cut else [s] if s else []) for s in seen]
+        if self.known > MEMO:
+            self.thin()
+        parts, firsts = self.pre_tokens(seen)
+        p = self.memo.ids(parts)
+        del parts, seen
         words = list(islice(self.memo.index, self.known, None))
         for start in range(0, len(words), 5_000):
             some = words[start : start + 5_000]
             found = [one.ids for one in self.part.encode_batch_fast(some, add_special_tokens=False)]
             self.begins.append(self.begins[-1][-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
             self.pools.append(np.fromiter(chain.from_iterable(found), np.int32))
-            # a marker ends a run of byte pieces, so a text decodes piece by piece as its pre-tokens do
+            # a pre-token ends a run of byte pieces at a whole character, so a text decodes as its pre-tokens do
             self.good.append(np.array([self.decoded(k) == w.replace(MARK, " ") for k, w in zip(found, some, strict=True)], bool))
         self.known += len(words)
         self.pools, self.begins, self.good = [np.concatenate(self.pools)], [np.concatenate(self.begins)], [np.concatenate(self.good)]
         pool, begins, good = self.pools[0], self.begins[0], self.good[0]
-        out = []
-        for p in parts:
-            sizes = begins[p + 1] - begins[p]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[p] - (ends - sizes), sizes)
-            out.append(pool[at])
-        return out, words, [bool(good[p].all()) for p in parts]
+        self.uses = np.bincount(p, minlength=self.known) + np.concatenate((self.uses, np.zeros(len(words), np.int64)))
+        sizes = (begins[p + 1] - begins[p]).astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        # within a block numbers of 32 bits do, unless a text is larger than that
+        narrow = np.int32 if max(ends[-1], begins[-1]) < 1 << 31 else np.int64
+        flat = pool[np.repeat((begins[p] - ends[:-1]).astype(narrow), sizes) + np.arange(ends[-1], dtype=narrow)]
+        bad = np.concatenate(([0], np.cumsum(~good[p])))[firsts]
+        cut = ends[firsts]
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], words, (bad[1:] == bad[:-1]).tolist()
+
+    def thin(self) -> None:
+        """Keeps the pre-tokens that were met more than once since the last time, half of MEMO at most."""
+        stay = np.flatnonzero(self.uses > 1)
+        if len(stay) > MEMO // 2:
+            stay = np.sort(stay[np.argsort(-self.uses[stay], kind="stable")[: MEMO // 2]])
+        words, pool, begins, good = self.memo.words, self.pools[0], self.begins[0], self.good[0]
+        self.forget()
+        self.memo.ids([words[k] for k in stay])
+        sizes = begins[stay + 1] - begins[stay]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        self.known, self.uses = len(stay), np.zeros(len(stay), np.int64)
+        self.pools, self.begins, self.good = [pool[np.repeat(begins[stay] - ends[:-1], sizes) + np.arange(ends[-1])]], [ends], [good[stay]]
 
     def forget(self) -> None:
-        self.memo, self.known = Vocabulary(), 0
+        self.memo, self.known, self.uses = Vocabulary(), 0, np.empty(0, np.int64)
         self.pools, self.begins, self.good = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [np.empty(0, bool)]
 
     def decoded(self, ids) -> str:
@@ -257,8 +317,19 @@ def check(codec: Codec, reference, texts: list[str | None], ids: list[np.ndarray
     tie = lambda a, b: codec.model.unigram and codec.decode(a) == codec.decode(b) and math.isclose(score(a), score(b), rel_tol=1e-6, abs_tol=1e-4)
     if codec.cut and codec.plain:
         begins, first = codec.begins[0], codec.known - len(words)
-        # the reference puts the first marker itself; of nothing it makes nothing
-        pairs = ((w, [reference.piece_to_id(MARK)] if w == MARK else reference.encode(w[1:]), codec.pools[0][begins[first + k] : begins[first + k + 1]]) for k, w in enumerate(words))
+        # the reference puts a marker first, which where there is none is cut off together with a character that stands apart
+        apart = codec.borders.apart if codec.borders else ""
+        lead = len(reference.encode(apart)) if apart else 0
+
+        def wanted() -> Iterator[list[int]]:
+            for start in range(0, len(words), 5_000):
+                some = words[start : start + 5_000]
+                bare = [w[0] != MARK and bool(apart) for w in some]
+                for w, b, said in zip(some, bare, reference.encode([apart + w if b else w[1:] for w, b in zip(some, bare, strict=True)], num_threads=1), strict=True):
+                    # of nothing it makes nothing
+                    yield said[lead:] if b else said if w != MARK else [reference.piece_to_id(MARK)]
+
+        pairs = ((w, said, codec.pools[0][begins[first + k] : begins[first + k + 1]]) for k, (w, said) in enumerate(zip(words, wanted(), strict=True)))
     else:
         pairs = ((t, reference.encode(t), k) for t, k in zip(texts, ids, strict=True) if t)
     for said, want, found in pairs:
