@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, mix, pick, word_hashes
+from .common import Scratch, Vocabulary, blocks, distinct, mix, pick, word_hashes
 
 #: All segments of a filter that is broadcast; larger ones are probed where they lie.
 BROADCAST_BYTES = 128 << 20
@@ -256,11 +256,18 @@ def answer(settings: Settings):
     return run
 
 
-def asked(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of all unigrams and bigrams of a block, and the place of each bigram token in them."""
+def asked(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all unigrams and bigrams of a block, and the places in them of each bigram token and of
+    each word. Sorted once: places follow from the order, without a search."""
     pairs = block.pairs()
-    keys = np.unique(np.concatenate((pairs, block.hashes)))
-    return keys, np.searchsorted(keys, pairs)
+    keys = np.concatenate((pairs, block.hashes))
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return keys[new], places[: len(pairs)], places[len(pairs) :]
 
 
 def probes(table: DataFrame, bits: int) -> DataFrame:
@@ -269,7 +276,7 @@ def probes(table: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             b = Block(row)
-            keys, _ = asked(b)
+            keys = distinct(np.concatenate((b.pairs(), b.hashes)))
             y = cuts(keys, bits)
             out = [(s, b.number, pack(keys[y[s] : y[s + 1]], True)) for s in range(1 << bits) if y[s + 1] > y[s]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.binary()], strict=True)], ["shard", "block", "keys"])
@@ -319,14 +326,14 @@ def log_frequency_scores(spark: SparkSession, docs: DataFrame, settings: Setting
         order, _, _ = b.exact_keys()
         exact = np.empty(len(b.words), np.int64)
         exact[order] = np.concatenate([unpack(v, np.int64) for v in right[right.what == 0].data])
-        keys, at = asked(b)
+        keys, at, own = asked(b)
         if segments is not None:
             y = cuts(keys, bits)
             levels = np.concatenate([probe_segment(segments.value[s], keys[y[s] : y[s + 1]], settings) if s in segments.value else np.zeros(y[s + 1] - y[s], np.uint8) for s in range(1 << bits)])
         else:
             levels = np.concatenate([np.frombuffer(v, np.uint8) for v in right[right.what == 1].data])
         counts = counts_of(levels)
-        single = counts[np.searchsorted(keys, b.hashes)]
+        single = counts[own]
         word_p = (single + 0.1) / scale
         before = np.empty(len(b.tokens), np.float64)
         before[1:] = single[b.tokens[:-1]]
