@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, gram_hashes, mix, word_hashes
+from .common import Scratch, Vocabulary, blocks, distinct, gram_hashes, mix, word_hashes
 
 #: Members of a bucket that one task compares with as many others at a time.
 CHUNK = 1024
@@ -102,7 +102,7 @@ def shingle_sets(words: list[np.ndarray], n: int) -> list[np.ndarray]:
     out, start = [], 0
     for w in words:
         if len(w) >= n:
-            out.append(np.unique(grams[start : start + len(w) - n + 1]))
+            out.append(distinct(grams[start : start + len(w) - n + 1]))
         else:
             out.append(gram_hashes(w, len(w)) if len(w) else w)
         start += len(w)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, free, mix
+from .common import Scratch, blocks, distinct, free, mix
 from .passages import BANDS, PERCENT, SHINGLE
 from .similar import BROADCAST_BYTES, SKETCH, SKETCH_TYPES, Bands, connect, near_links, set_digest, sketch_arrays, sorted_groups
 
@@ -139,7 +139,7 @@ class Paragraphs:
     def __init__(self, words: Words, n: int):
         rolling = Rolling(words.hashes, MULTIPLIERS[0])
         _, cuts = picked(words, rolling, SPREAD, GRAM)
-        self.first = np.unique(np.concatenate((words.begins[:-1][np.diff(words.begins) > 0], cuts)))
+        self.first = distinct(np.concatenate((words.begins[:-1][np.diff(words.begins) > 0], cuts)))
         self.upto = np.append(self.first[1:], len(words))
         if not len(self.first):
             self.upto = self.first
@@ -316,7 +316,7 @@ def units(texts: DataFrame, least: int, columns: tuple[str, ...], limit: int = 2
         for keys, said in blocks(batches, limit, 2):
             words = Words(said)
             rolling = Rolling(words.hashes, MULTIPLIERS[0])
-            at = np.unique(picked(words, rolling, least - UNIT + 1, UNIT)[1])
+            at = distinct(picked(words, rolling, least - UNIT + 1, UNIT)[1])
             if not len(at):
                 continue
             text = words.text[at]
