@@ -337,7 +337,7 @@ def check(codec: Codec, reference, texts: list[str | None], ids: list[np.ndarray
             raise ValueError(f"ids of {said[:200]!r} differ from the reference")
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2 << 20) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> DataFrame:
     """One row per row of docs: doc_id, ids, n_ids, round_trip.
 
     Null and empty texts have no ids. round_trip: decoding gives back the text as normalised (markers are spaces).
