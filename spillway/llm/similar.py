@@ -205,6 +205,40 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+#: Shingles that are looked up at once where a block is settled, unless one set has more.
+LOOKED_UP = 1 << 20
+
+
+def block_links(key: np.ndarray, component: np.ndarray, asks: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], least_equal: int, percent: int) -> list[tuple[int, int]]:
+    """Verified links of a block, as ``near_links`` settles it. What one set has in common with others is counted for many
+    of them at once, first for a few: a link may make the others needless."""
+    out, size = [], np.array([len(s) for s in sets], np.int64)
+    _, group = np.unique(component, return_inverse=True)
+    known, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    begins, mine, tell = ends - size, np.zeros(len(known), bool), np.flatnonzero(~asks)
+    for k in np.flatnonzero(asks):
+        near = tell[(marks[tell] == marks[k]).sum(axis=1) >= least_equal]
+        near = near[group[near] != group[k]]
+        if not len(near):
+            continue
+        mine[shingle[begins[k] : ends[k]]] = True
+        few = 8
+        while len(near):
+            fit = max(1, int(np.searchsorted(np.cumsum(size[near[:few]]), LOOKED_UP, "right")))
+            some, near, few = near[:fit], near[fit:], 2 * few
+            upto = np.cumsum(size[some])
+            at = np.repeat(begins[some] - (upto - size[some]), size[some]) + np.arange(upto[-1])
+            both = np.add.reduceat(mine[shingle[at]], upto - size[some], dtype=np.int64)
+            for other in some[100 * both >= percent * (size[k] + size[some] - both)]:
+                if group[other] != group[k]:
+                    out.append((min(key[k], key[other]), max(key[k], key[other])))
+                    group[group == group[other]] = group[k]
+            near = near[group[near] != group[k]]
+        mine[shingle[begins[k] : ends[k]]] = False
+    return out
+
+
 def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame], DataFrame], bands: Bands, percent: int, crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
     """a, b: verified links that connect all reps whose sets link through pairs that share a band.
 
@@ -280,21 +314,9 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Exact links of a block between components that no earlier link of it connects: for each that asks those told
         that are alike by sketch, all at once, and of these only such as are still apart."""
-        out = []
         marks = np.frombuffer(b"".join(pdf.marks), np.uint8).reshape(len(pdf), -1)
-        key, asks = pdf.key.to_numpy(), pdf.asks.to_numpy(bool)
         sets = [np.asarray(s).view(np.uint64) for s in pdf.shingles]
-        _, group = np.unique(pdf.component.to_numpy(), return_inverse=True)
-        tell = np.flatnonzero(~asks)
-        for k in np.flatnonzero(asks):
-            near = tell[(marks[tell] == marks[k]).sum(axis=1) >= least_equal]
-            near = near[group[near] != group[k]]
-            while len(near):
-                other, near = near[0], near[1:]
-                if similar(sets[k], sets[other], percent):
-                    out.append((min(key[k], key[other]), max(key[k], key[other])))
-                    group[group == group[other]] = group[k]
-                    near = near[group[near] != group[k]]
+        out = block_links(pdf.key.to_numpy(), pdf.component.to_numpy(), pdf.asks.to_numpy(bool), marks, sets, least_equal, percent)
         return pd.DataFrame(out, columns=["a", "b"])
 
     needed = crowded.select("key").distinct()
