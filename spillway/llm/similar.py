@@ -4,6 +4,9 @@ Sketch: fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017). In round i
 one of t bins with a value; a bin keeps the least i + value. Rounds i >= t throw all elements into bin i - t, so each
 bin fills for sure. A set stops after the round that fills its last bin, which for sets of t ln t elements is the first.
 
+Bands aren't rows of a shuffle: a task deals out its pairs of a band and a key in packed blocks, one for each part of the
+hash space, and such a part is sorted at once.
+
 Linking never lists the pairs of a bucket. Each bucket's members are compared with its centre only (its least key).
 Verified links give components; what stays in one bucket but in different components is compared in blocks: members that
 aren't of the bucket's main component with each other, and with all of that component, first by sketch, then exactly. A link between different sets that share
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Vocabulary, blocks, distinct, gram_hashes, mix, word_hashes
+from .common import Scratch, Vocabulary, blocks, distinct, give_back, gram_hashes, mix, word_hashes
 
 #: Members of a bucket that one task compares with as many others at a time.
 CHUNK = 1024
 #: Pairs that a block may give for each of its members; one with more is settled as a whole.
 PAIRS_PER_MEMBER = 4
-#: Buckets of more than one member that are broadcast, so that the others' rows aren't shuffled; beyond, a shuffled join.
+#: Keys that are broadcast, so that the others' rows aren't shuffled; beyond, a shuffled join.
 BROADCAST_BYTES = 16 << 20
 #: Text whose shingle sets a Python worker holds at once; with 8 MB a worker took 352 MB at most, with 1 MB 213.
 BLOCK_BYTES = 1 << 20
@@ -171,15 +174,40 @@ def sketched(texts: DataFrame, bands: Bands, n: int, limit: int = BLOCK_BYTES) -
     return texts.mapInArrow(run, f"key bigint, tag bigint, {SKETCH}")
 
 
-def connect(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 64) -> DataFrame:
+#: Links that one task connects; more are connected in rounds of shuffles.
+LINKS = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys that are linked and the least key of each one's component."""
+    keys, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    least, a, b = np.arange(len(keys)), at[: len(u)], at[len(u) :]
+    while len(a):
+        np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))
+        while not np.array_equal(least, further := least[least]):
+            least = further
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    return keys, keys[least]
+
+
+def connect(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 64, few: int = LINKS) -> DataFrame:
     """key, component (its least key) of every key in edges (a, b).
 
-    Alternates large-star and small-star (Kiveris et al. 2014): neighbours are linked to the least of a neighbourhood,
+    A few links are connected by one task. More: alternates large-star and small-star (Kiveris et al. 2014): neighbours are linked to the least of a neighbourhood,
     until stars remain. Each round takes a minimum per key, which combines before the shuffle, and joins it back; a
     round's links are a table, so lineage stays short and no link is ever collected.
     """
     links = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     kept = f"{name}-0"
+    if links.count() <= few:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in batches]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in stars(*np.concatenate(held, axis=1))], ["key", "component"])
+
+        return scratch.save(links.coalesce(1).mapInArrow(whole, "key bigint, component bigint"), f"{name}-1")
     for k in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -205,6 +233,93 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+#: Bits of a band that are compared: bands that are equal by chance give candidates, but no links. The others of 64 number
+#: the pairs that a task deals out at once. And pairs of a bucket of bands, about; and bits of its number, at least.
+BAND_BITS, BUCKET_PAIRS, BUCKET_BITS = 44, 1 << 19, 8
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binaries of the bytes of values, cut at the ends."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array, kind) -> np.ndarray:
+    """The values of all binaries of a column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def shared_bands(reps: DataFrame, bands: Bands, bucket_pairs: int = BUCKET_PAIRS, least_bits: int = BUCKET_BITS) -> DataFrame:
+    """band, key, centre (the least key of the band) of bands that several keys of reps (key, keys) have, each once."""
+    bits = max(least_bits, (reps.count() * bands.bands // bucket_pairs).bit_length())
+    places = 64 - BAND_BITS
+    most = max(1, (1 << places) // bands.bands)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                if rows + part.num_rows > most:
+                    yield dealt(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if held:
+            yield dealt(held)
+        give_back()
+
+    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key = np.concatenate([b.column(0).to_numpy() for b in held])
+        band = np.concatenate([b.column(1).flatten().to_numpy() for b in held]).view(np.uint64)
+        both = np.sort((band >> np.uint64(places) << np.uint64(places)) | np.arange(len(band), dtype=np.uint64))
+        bucket = (both >> np.uint64(64 - bits)).astype(np.int32)
+        begins = np.flatnonzero(np.concatenate((bucket[:1] == bucket[:1], bucket[1:] != bucket[:-1])))
+        ends = np.append(begins, len(bucket))
+        low = (both >> np.uint64(max(places, 32 - bits))).astype(np.uint32)
+        mine = key[(both & np.uint64((1 << places) - 1)).astype(np.int64) // bands.bands]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), packed(low, ends), packed(mine, ends)], ["bucket", "low", "mine"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            borders = group_borders(batch, 1)
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                bucket = batch.column(0)[lo].as_py()
+                if bucket != at and held:
+                    yield from gathered(at, held)
+                    held = []
+                at = bucket
+                part = batch.slice(lo, hi - lo)
+                held.append((unpacked(part.column(1), np.uint32), unpacked(part.column(2), np.int64)))
+        if held:
+            yield from gathered(at, held)
+        give_back()
+
+    def gathered(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        low, key = (np.concatenate(c) for c in zip(*held, strict=True))
+        both = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+        same = (both[1:] ^ both[:-1]) >> np.uint64(32) == 0
+        both = both[np.append(same, False) | np.append(False, same)]
+        band, key = (both >> np.uint64(32)).astype(np.int64), key[(both & np.uint64((1 << 32) - 1)).astype(np.int64)]
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        new = np.append(True, band[1:] != band[:-1])[: len(band)]
+        once = new | np.append(True, key[1:] != key[:-1])[: len(key)]
+        band, key, new = band[once], key[once], new[once]
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(band)))
+        centre, many = np.repeat(key[begins], sizes), np.repeat(sizes > 1, sizes)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (np.int64(bucket << 32) | band, key, centre)], ["band", "key", "centre"])
+
+    blocks_of = reps.select("key", "keys").mapInArrow(deal, "bucket int, low binary, mine binary")
+    return blocks_of.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "band bigint, key bigint, centre bigint")
+
+
 #: Shingles that are looked up at once where a block is settled, unless one set has more.
 LOOKED_UP = 1 << 20
 
@@ -242,18 +357,18 @@ def block_links(key: np.ndarray, component: np.ndarray, asks: np.ndarray, marks:
 def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame], DataFrame], bands: Bands, percent: int, crowd: int = PAIRS_PER_MEMBER) -> DataFrame:
     """a, b: verified links that connect all reps whose sets link through pairs that share a band.
 
-    reps: key (bigint), n_shingles, keys, marks of one representative per distinct non-empty set. sets_for gives, for
-    a table of keys, key and shingles of their sets; it is asked for those with candidates only.
+    reps: key (bigint), n_shingles, keys, marks of each distinct non-empty set; rows that repeat a key are equal.
+    sets_for gives, for a table of keys, key and shingles of their sets; it is asked for those with candidates only.
     """
     # of its coordinates, a pair at the threshold has ``percent`` in a hundred equal; five deviations fewer are let pass
     share = percent / 100
     least_equal = int(bands.size * share - 5 * (bands.size * share * (1 - share)) ** 0.5)
-    spread = reps.select("key", F.explode("keys").alias("band"))
-    centres = scratch.save(spread.groupBy("band").agg(F.min("key").alias("centre"), F.count("*").alias("members")).where("members > 1"), "centres")
-    found = centres.select("band", "centre")
-    members = scratch.save(spread.join(F.broadcast(found) if centres.count() * 24 <= BROADCAST_BYTES else found, "band"), "members")
+    members = scratch.save(shared_bands(reps, bands), "members")
     pairs = members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    slim = reps.select("key", "n_shingles", "marks")
+    # a key that shares bands shares several as a rule: 20 and 32 are asked for
+    shared, few = members.select("key").distinct(), members.count() * 4 <= BROADCAST_BYTES
+    slim = reps.select("key", "n_shingles", "marks").join(F.broadcast(shared) if few else shared, "key", "left_semi")
+    slim = scratch.save(slim.dropDuplicates(["key"]), "slim")
     ends = [slim.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}")) for x in "ab"]
     sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     candidates = pairs.join(ends[1], "b").join(ends[0], "a").where(sized).where(alike("m_a", "m_b") >= least_equal).select("a", "b")
@@ -306,7 +421,7 @@ def near_links(scratch: Scratch, reps: DataFrame, sets_for: Callable[[DataFrame]
     fresh = flagged.where("pair").select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
     second = scratch.save(verified(scratch, scratch.save(fresh, "pairs-second"), sets_for, percent), "links-second")
     crowded = flagged.where("not pair").select(F.col("a").alias("key"), "box", "i", "j", "component", "asks")
-    tables = ("centres", "members", "candidates", "placed", "open", "rest", "flagged", "pairs-second")
+    tables = ("members", "slim", "candidates", "placed", "open", "rest", "flagged", "pairs-second")
     if crowded.isEmpty():
         scratch.drop(*tables)
         return first.unionByName(second)

@@ -40,8 +40,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(MULTIPLIERS[1]))
 BYTES[65:91] = BYTES[97:123]
 SEGMENT = 1 << 16
-#: Powers that are kept; and digests of paragraphs that a task remembers, some 100 bytes each.
-POWERS, KNOWN = 1 << 20, 1 << 17
+#: Powers that are kept; sets that are sketched at once; and digests of paragraphs that a task remembers, some 100 bytes each.
+POWERS, SKETCHED, KNOWN = 1 << 20, 1 << 14, 1 << 17
 #: Of a shingle's hash: two of a thousand shingles are equal by chance once in 35 million paragraphs.
 SHINGLE_BITS = 44
 
@@ -177,32 +177,25 @@ def owners(keys: list[tuple], text: np.ndarray, places: int = 2) -> list[np.ndar
     return list(table[text].T)
 
 
-def paragraphs(texts: DataFrame, n: int, limit: int = 2 << 20) -> DataFrame:
-    """Places and digests of all paragraphs."""
+def set_keys(digests: list[bytes]) -> np.ndarray:
+    """A number for each set: half of its digest. Of 160 million sets, as 30 GB of text have, two share one with
+    probability 7e-4."""
+    return np.frombuffer(b"".join(digests), np.int64)[::2]
+
+
+def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20, known: int = KNOWN) -> DataFrame:
+    """Places of all paragraphs, the keys of their sets and sketch columns. A set that a task has sketched comes again
+    without: keys and marks are null, since copies would be most of a table's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for keys, said in blocks(batches, limit, 2):
             words = Words(said)
             cut = Paragraphs(words, n)
             if not len(cut.first):
                 continue
             base = words.begins[cut.text]
-            columns = [*owners(keys, cut.text), cut.number, cut.first - base, cut.upto - base, words.starts[cut.first], words.ends[cut.upto - 1]]
-            digests = pa.array([set_digest(cut.set(k)) for k in range(len(cut.first))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, PLACES.values(), strict=True)), digests], [*PLACES, "digest"])
-
-    return texts.mapInArrow(run, f"{PLACE}, digest binary")
-
-
-def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20, known: int = KNOWN) -> DataFrame:
-    """who, tag, number and sketch columns of all paragraphs. They are cut again, so that sketches of copies, which are
-    most of a paragraph's bytes, are never written. A set that a task has sketched comes again with its digest only:
-    keys and marks are null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for keys, said in blocks(batches, limit, 2):
-            cut = Paragraphs(Words(said), n)
+            places = [*owners(keys, cut.text), cut.number, cut.first - base, cut.upto - base, words.starts[cut.first], words.ends[cut.upto - 1]]
             digests = [set_digest(cut.set(k)) for k in range(len(cut.first))]
             fresh = np.zeros(len(digests), bool)
             for k, digest in enumerate(digests):
@@ -219,17 +212,17 @@ def sketches(texts: DataFrame, bands: Bands, n: int, limit: int = 2 << 20, known
                 said_once = [digests[k] for k in these]
                 if new:
                     offsets = np.concatenate(([0], np.cumsum(sizes[these])))
-                    columns = sketch_arrays(cut.flat[np.repeat(fresh, sizes)], offsets, bands, 1 << 14, said_once)
+                    columns = sketch_arrays(cut.flat[np.repeat(fresh, sizes)], offsets, bands, SKETCHED, said_once)
                 else:
                     columns = [pa.array(sizes[these], pa.int64()), pa.array(said_once, pa.binary()), *(pa.nulls(len(these), SKETCH_TYPES[c]) for c in ("keys", "marks"))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in owners(keys, cut.text[these])), pa.array(cut.number[these].astype(np.int32)), *columns], ["who", "tag", "number", *SKETCH_TYPES])
+                at = [pa.array(c[these].astype(t.to_pandas_dtype()), t) for c, t in zip(places, PLACES.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(set_keys(said_once)), *columns], [*PLACES, "key", *SKETCH_TYPES])
 
-    return texts.mapInArrow(run, f"who bigint, tag bigint, number int, {SKETCH}")
+    return texts.mapInArrow(run, f"{PLACE}, key bigint, {SKETCH}")
 
 
-def wanted_sets(texts: DataFrame, wanted: DataFrame, n: int, limit: int = 2 << 20) -> DataFrame:
+def wanted_sets(texts: DataFrame, wanted: DataFrame, few: bool, n: int, limit: int = 2 << 20) -> DataFrame:
     """key, shingles of wanted paragraphs (key, who, tag, number): their texts are cut again."""
-    few = wanted.count() * 64 <= BROADCAST_BYTES
     lists = wanted.groupBy("who", "tag").agg(F.collect_list(F.struct("number", "key")).alias("pars"))
     rows = texts.join(F.broadcast(lists) if few else lists, ["who", "tag"])
 
@@ -279,26 +272,25 @@ def chains(places: DataFrame, least: int) -> DataFrame:
 
 def alike(scratch: Scratch, texts: DataFrame, bands: Bands, shingle: int, percent: int, least: int) -> DataFrame:
     """Chains (rows HELD) of paragraphs whose components several documents have."""
-    table = scratch.save(paragraphs(texts, shingle), "paragraphs")
-    place = F.min(F.struct("who", "tag", "number")).alias("place")
-    classes = sketches(texts, bands, shingle).groupBy("digest").agg(place, F.max("who").alias("last"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n_shingles", "keys", "marks")])
-    # ids are fixed by writing them
-    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("key"), "*"), "classes")
+    table = scratch.save(sketches(texts, bands, shingle).drop("digest"), "paragraphs")
 
     def sets_for(needed: DataFrame) -> DataFrame:
-        small = needed.count() * 16 <= BROADCAST_BYTES
-        wanted = classes.join(F.broadcast(needed) if small else needed, "key", "left_semi").select("key", "place.*")
-        return wanted_sets(texts, scratch.save(wanted, "wanted"), shingle)
+        many = needed.count()
+        places = table.select("key", "who", "tag", "number").join(F.broadcast(needed) if many * 16 <= BROADCAST_BYTES else needed, "key")
+        wanted = places.groupBy("key").agg(F.min(F.struct("who", "tag", "number")).alias("place")).select("key", "place.*")
+        return wanted_sets(texts, wanted, many * 64 <= BROADCAST_BYTES, shingle)
 
-    links = near_links(scratch, classes.select("key", "n_shingles", "keys", "marks"), sets_for, bands, percent)
+    links = near_links(scratch, table.where("keys is not null").select("key", "n_shingles", "keys", "marks"), sets_for, bands, percent)
     component = connect(scratch, links, "whole")
-    owned = classes.select("key", "digest", F.col("place.who").alias("first"), "last").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    owned = table.groupBy("key").agg(F.min("who").alias("first"), F.max("who").alias("last")).join(component, "key", "left")
+    # a set that links with none is its document's own, or a component by itself
+    owned = scratch.save(owned.where("component is not null or first < last").withColumn("component", F.coalesce("component", "key")), "owned")
     several = owned.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("component")
-    named = scratch.save(owned.select("digest", "component").join(several, "component"), "named")
+    named = scratch.save(owned.select("key", "component").join(several, "component"), "named")
     few = named.count() * 32 <= BROADCAST_BYTES
-    places = table.select(*PLACES, "digest").join(F.broadcast(named) if few else named, "digest")
+    places = table.select(*PLACES, "key").join(F.broadcast(named) if few else named, "key")
     out = scratch.save(chains(places, least), "chains")
-    scratch.drop("paragraphs", "classes", "named", "wanted")
+    scratch.drop("paragraphs", "owned", "named")
     return out
 
 
@@ -352,18 +344,17 @@ PIECE = ("who", "tag", "w", "upto", "start", "end", "first")
 
 def verbatim(scratch: Scratch, texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Pieces that units settle by themselves, and rows HELD of the windows around other repeated units."""
-    table = units(texts, least, ("unit", "around", "who"))
+    table = scratch.save(units(texts, least, tuple(UNITS)), "units")
     ends = [f(c).alias(f"{name}_{c}") for c in ("who", "around") for name, f in (("min", F.min), ("max", F.max))]
     known = table.groupBy("unit").agg(*ends).where("min_who < max_who")
     known = scratch.save(known.select("unit", F.col("min_who").alias("first"), F.expr("min_around = max_around").alias("settled")), "repeated-units")
     small = known.count() * 64 <= WIDE_BYTES
-    places = units(texts, least, ("unit", "who", "tag", "w", "upto", "start", "end"))
-    placed = scratch.save(places.join(F.broadcast(known) if small else known, "unit"), "placed")
+    placed = scratch.save(table.drop("around").join(F.broadcast(known) if small else known, "unit"), "placed")
     asked = placed.where("not settled").groupBy("who", "tag").agg(F.collect_set("unit").alias("units"))
     asked = scratch.save(asked, "asked")
     about = asked.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("units")), F.lit(0)).alias("units")).first()
     rows = scratch.save(windows(texts, asked, about["texts"] * 96 + about["units"] * 16 <= WIDE_BYTES, least), "windows")
-    scratch.drop("repeated-units", "asked")
+    scratch.drop("units", "repeated-units", "asked")
     return placed.where("settled").select(*PIECE), rows
 
 
